@@ -46,6 +46,9 @@ class Fs:
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
+    def is_file(self, name: str = "") -> bool:
+        return self.exists(name) and self._fs.getFileStatus(self._path(name)).isFile()
+
     def mkdirs(self, name: str = "") -> None:
         self._fs.mkdirs(self._path(name))
 
