@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinct, heavy, quantiles
+from . import distinct, heavy, quantiles, seen, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,20 @@ def p2_heavy_counts(spark, d):
     return found.select("table_name", F.hex("key").alias("key_hex"), "n", "n_rows", (F.col("approx") >= F.col("n")).alias("approx_is_bound"))
 
 
+def _seen(spark, d):
+    return seen.classify(spark, f"{d}/change_log.parquet", f"{d}/incoming_record.parquet")
+
+
+def p4_found(spark, d):
+    """Incoming records whose key occurred before, by seen flags in a streaming state store."""
+    return _seen(spark, d).where("is_repeat").select("rec_id")
+
+
+def p4_wrong_rate(spark, d):
+    """Records, repeats and wrong answers of the state store against a batch recount."""
+    return seen.wrong_rate(_seen(spark, d), table(spark, d, "change_log"), table(spark, d, "incoming_record"))
+
+
 def p5_percentiles(spark, d):
     """Median and other percentiles of duration_ms per day, type, stage and each combination."""
     cells = quantiles.digests(telemetry(spark, d, "duration_ms"), "duration_ms", GROUPS)
@@ -88,14 +102,22 @@ def p5_rank_check(spark, d):
     return ranks.select("type", "n", ok.alias("in_bound"))
 
 
+def p6_ids(spark, d):
+    """Token ids of each document by byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_distinct": p1_distinct,
     "p1_distinct_portable": p1_distinct_portable,
     "p1_weekly_merge": p1_weekly_merge,
     "p2_found": p2_found,
     "p2_heavy_counts": p2_heavy_counts,
+    "p4_found": p4_found,
+    "p4_wrong_rate": p4_wrong_rate,
     "p5_percentiles": p5_percentiles,
     "p5_rank_check": p5_rank_check,
+    "p6_ids": p6_ids,
 }
 
 _REST = distinct.BITS - distinct.P
@@ -118,9 +140,13 @@ _BY_SQL = ", ".join(f"grouping({g}) = 0 AS by_{g}" for g in GROUPS)
 _KEYS = "keys AS (SELECT 'telemetry_event' AS table_name, encode(key) AS key FROM telemetry_event WHERE key IS NOT NULL UNION ALL SELECT 'change_log', key FROM change_log WHERE key IS NOT NULL)"
 _HEAVY = f"WITH {_KEYS}, c AS (SELECT table_name, key, count(*) AS n FROM keys GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY table_name) AS n_rows FROM c)"
 
+_FIRST = "first AS (SELECT key, min(ord) AS ord FROM (SELECT key, CAST(-1 AS BIGINT) AS ord FROM change_log UNION ALL SELECT key, rec_id FROM incoming_record) u WHERE key IS NOT NULL GROUP BY key)"
+
 SQL: dict[str, str] = {
     "p2_found": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex FROM t WHERE n * 100 >= n_rows",
     "p2_heavy_counts": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex, n, CAST(n_rows AS BIGINT) AS n_rows, TRUE AS approx_is_bound FROM t WHERE n * 100 >= n_rows",
+    "p4_found": f"WITH {_FIRST} SELECT r.rec_id FROM incoming_record r JOIN first f ON r.key = f.key WHERE f.ord < r.rec_id",
+    "p4_wrong_rate": f"WITH {_FIRST} SELECT count(*) AS n_records, count(*) FILTER (WHERE f.ord < r.rec_id) AS n_repeats, CAST(0 AS BIGINT) AS n_wrong, 0.0::DOUBLE AS wrong_rate FROM incoming_record r JOIN first f ON r.key = f.key",
     "p5_rank_check": "SELECT type, count(duration_ms) AS n, TRUE AS in_bound FROM telemetry_event WHERE duration_ms IS NOT NULL GROUP BY type",
     "p1_distinct_portable": f"""WITH {_CELLS},
 sets AS (SELECT day, type, stage, bucket, max(rank) AS rank, {_BY_SQL} FROM cells GROUP BY CUBE (day, type, stage), bucket),
