@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinct, heavy, quantiles, seen, tokens
+from . import distinct, heavy, quantiles, seen, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,11 @@ def p6_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark, d):
+    """Place of each sentence unit of each document."""
+    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
 QUERIES: dict[str, Query] = {
     "p1_distinct": p1_distinct,
     "p1_distinct_portable": p1_distinct_portable,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "p5_percentiles": p5_percentiles,
     "p5_rank_check": p5_rank_check,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
 }
 
 _REST = distinct.BITS - distinct.P
