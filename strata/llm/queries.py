@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinct, heavy, quantiles, seen, sentences, tokens
+from . import distinct, heavy, leaks, quantiles, seen, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,23 @@ def p6_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p7_found(spark, d):
+    """Documents that hold a stretch of an item's passage, with the item."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark, d):
+    """Documents and longest stretch of each item that leaked."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("size").alias("longest"))
+
+
+def p7_clean(spark, d):
+    """Texts without the leaked stretches."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return leaks.without_leaks(docs, leaks.leaks(docs, table(spark, d, "eval_item")))
+
+
 def p8_found(spark, d):
     """Place of each sentence unit of each document."""
     return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
@@ -123,6 +140,9 @@ QUERIES: dict[str, Query] = {
     "p5_percentiles": p5_percentiles,
     "p5_rank_check": p5_rank_check,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+    "p7_clean": p7_clean,
     "p8_found": p8_found,
 }
 
