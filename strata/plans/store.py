@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark import StorageLevel
@@ -28,7 +29,7 @@ class Closed(RuntimeError):
 class Store:
     """A log-structured merge store of key changes.
 
-    Layout below its path: log/seg-N (committed batches as they came), runs/run_id=N
+    Layout below its path: log/seg-N (committed batches as they came), runs/run_id=N-X
     (folded, bucketed and sorted), _manifest/vN.json. The valid change of a key is
     the one with the greatest (ts, seq) over all layers; tombstones are kept in
     the runs and filtered after the fold. Flush and compaction run inside the call.
@@ -126,7 +127,7 @@ class Store:
                 col = F.when(is_put(), col)
             cols.append(col.cast(f.dataType).alias(f.name))
         n = self._m.next_segment
-        path = f"{self.path}/log/seg-{n:012d}-{base}"
+        path = f"{self.path}/log/seg-{n:012d}-{uuid.uuid4().hex}"
         seen = Observation()
         out = df.select(*cols).observe(
             seen, F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.count("ts").alias("nt")
@@ -203,8 +204,7 @@ class Store:
 
     def _write(self, rows: DataFrame, level: int) -> M.Run | None:
         n = self._m.next_run
-        path = f"{self.path}/runs/run_id={n}"
-        self._fs.delete(f"runs/run_id={n}")  # leftovers of a write that was never committed
+        path = f"{self.path}/runs/run_id={n}-{uuid.uuid4().hex}"  # no writer touches another's files
         before = self.spark.conf.get("spark.sql.shuffle.partitions")
         self.spark.conf.set("spark.sql.shuffle.partitions", self._m.buckets)
         try:
@@ -332,7 +332,8 @@ class Store:
 
     @staticmethod
     def _count(df: DataFrame) -> int:
-        return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("h").alias("n")).first().n
+        # The sum of hashes makes the scan read every column.
+        return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).first().n
 
     # -- telemetry
 

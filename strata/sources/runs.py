@@ -58,7 +58,7 @@ def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int,
 
 
 def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str, buckets: int) -> DataFrame:
-    """The given (run_seq, path) runs as one bucketed DataFrame; path ends in run_id=N and gives run_id.
+    """The given (run_seq, path) runs as one bucketed DataFrame; path ends in run_id=N-X and gives run_id, N.
 
     The relation is built from the files alone. Spark's reader has no way to state
     buckets without a catalog table, hence the call into its DataSource class.
@@ -67,7 +67,7 @@ def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str
     some = jvm.scala.Option.apply
     names = utils.toSeq(["key"])
     spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, names, names)
-    schema = spark._jsparkSession.parseDataType(T._parse_datatype_string(f"{columns}, run_id bigint").json())
+    schema = spark._jsparkSession.parseDataType(T._parse_datatype_string(f"{columns}, run_id string").json())
     relation = jvm.org.apache.spark.sql.execution.datasources.DataSource(
         spark._jsparkSession,
         "parquet",
@@ -78,7 +78,8 @@ def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str
         utils.toScalaMap({"basePath": runs[0][1].rsplit("/", 1)[0]}),
         some(None),
     ).resolveRelation(True, True)
-    return DataFrame(spark._jsparkSession.baseRelationToDataFrame(relation), spark)
+    df = DataFrame(spark._jsparkSession.baseRelationToDataFrame(relation), spark)
+    return df.withColumn("run_id", F.substring_index("run_id", "-", 1).cast("bigint"))
 
 
 def sparse_index(df: DataFrame, gap: int, run: str = "run_id") -> DataFrame:
