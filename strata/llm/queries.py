@@ -126,7 +126,7 @@ def p7_clean(spark, d):
 
 def p8_found(spark, d):
     """Place of each sentence unit of each document."""
-    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+    return sentences.sentences(table(spark, d, "documents"), sentence=False).select("doc_id", "start_pos", "end_pos")
 
 
 QUERIES: dict[str, Query] = {

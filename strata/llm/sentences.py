@@ -124,8 +124,9 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = _sub(w, rf"[{T}](?=[^{QUOTE}{QUOTED}{MARK}]{{0,300}}?[^{QUOTE}{QUOTED}{MARK}{T}{GAP}{ZERO}]{last}[{QUOTED}])", HOLD)
     w = _sub(w, rf"[{T}](?=[^{BRACKET}{BRACKETED}{MARK}]{{0,300}}?[^{BRACKET}{BRACKETED}{MARK}{T}{ZERO}]{last}[{BRACKETED}])", HOLD)
 
-    firm = rf"(?:[{DOT}{ELLIPSIS}]*+[{FIRM}][{T}]*+)"
-    dots = rf"(?:{DOT}{{2,}}+|{ELLIPSIS}[{DOT}{ELLIPSIS}]*+)(?![{T}])"
+    # A run of marks is tried from its beginning only, else long runs cost the square of their length.
+    firm = rf"(?:(?=[{T}])(?<![{T}])[{DOT}{ELLIPSIS}]*+[{FIRM}][{T}]*+)"
+    dots = rf"(?:(?=[{DOT}{ELLIPSIS}])(?<![{T}])(?:{DOT}{{2,}}+|{ELLIPSIS}[{DOT}{ELLIPSIS}]*+)(?![{T}]))"
     emoji = rf"(?:[{HS}]*+[{EMO}](?:[{EMO}{HS}]*[{EMO}])?)?+"  # possessive: emoji are never cut off
     end = rf"{WS}*+(?:$|{MARK})"
     small = rf"(?={end}|{WS}++[^\p{{Ll}}\s\p{{Z}}])"
@@ -134,7 +135,7 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = _sub(w, rf"{ELLIPSIS}(?<=(?:嗯|呃|う ?ー ?ん|ええと|えーと)[ {ELLIPSIS}]{{1,6}})", HOLD)
     w = _sub(w, rf"({dots}(?<=[{CJK}][{DOT}{ELLIPSIS}]{{1,9}}){emoji})(?![{CLOSE}])", rf"$1{MARK}")
     w = _sub(w, rf"([{WIDE}][{T}]*+{emoji})(?![{CLOSE}{T}])", rf"$1{MARK}")
-    w = _sub(w, rf"([{BANG}{QUERY}]++(?<=[{CJK}\p{{N}}][{BANG}{QUERY}]{{1,9}}){emoji})(?=[{CJK}\ue040\ue042\ue047{OPEN_Q}])", rf"$1{MARK}")
+    w = _sub(w, rf"([{BANG}{QUERY}](?<![{T}].)[{BANG}{QUERY}]*+(?<=[{CJK}\p{{N}}][{BANG}{QUERY}]{{1,9}}){emoji})(?=[{CJK}\ue040\ue042\ue047{OPEN_Q}])", rf"$1{MARK}")
     w = _sub(w, rf"([{FULL}][{T}]*+[{CLOSE}]++{emoji})(?!と|って|との|とか)", rf"$1{MARK}")
     w = _sub(w, rf"([{LOUD}][{T}]*+[{CLOSE}]++{emoji})(?={end}|{WS}*+[{OPEN}]|{WS}++\p{{Lu}})", rf"$1{MARK}")
 
@@ -165,7 +166,7 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
 
     # Emoji in place of the mark.
     w = settle(w)
-    face = rf"([{EMO}](?:[{EMO}{HS}]*[{EMO}])?)"
+    face = rf"([{EMO}](?<![{EMO}].)(?:[{EMO}{HS}]*[{EMO}])?+)"
     w = settle(
         F.when(flat, _sub(w, rf"{face}(?={WS}|$)", rf"$1{MARK}")).otherwise(
             _sub(w, rf"{face}(?={end}|{WS}++[^\p{{Ll}}\s\p{{Z}}]|[\p{{Lu}}{CJK}])", rf"$1{MARK}")
@@ -181,8 +182,12 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
 BLOCK = 128
 
 
-def places(df: DataFrame, marked_text: str, out: str) -> DataFrame:
-    """df with `out`: array of struct<start_pos, end_pos> of the units of a marked text."""
+def places(df: DataFrame, text: str, marked_text: str, out: str, sentence: bool = False) -> DataFrame:
+    """df with `out`: array of struct<start_pos, end_pos> of the units of a text, with sentence also those.
+
+    Pieces are taken in blocks: places are summed, and units cut out, within a block and then
+    over the blocks, so that a text of n units does not cost n times its length.
+    """
     # Of each piece: its length, that of its leading white space and that of its inner text.
     df = df.withColumn(
         "_pieces",
@@ -197,39 +202,40 @@ def places(df: DataFrame, marked_text: str, out: str) -> DataFrame:
     )
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
     pieces = F.col("_pieces")
-    blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
-    sized = F.transform(F.transform(blocks, lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))), lambda b: F.struct(b.alias("block"), total(b).alias("n")))
-    df = df.withColumn("_sized", sized)
+    cut = lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+    df = df.withColumn("_blocks", F.transform(F.transform(numbers, cut), lambda b: F.struct(b.alias("block"), total(b).alias("n"))))
+    df = df.withColumn("_sizes", F.transform("_blocks", lambda b: F.struct(b["n"].alias("n"))))
+
+    def with_base(b: Column, i: Column) -> Column:
+        base = total(F.slice("_sizes", F.lit(1), i))
+        own = [F.substring(F.col(text), base + 1, b["n"]).alias("own")] if sentence else []
+        return F.struct(b["block"].alias("block"), base.alias("base"), *own)
 
-    def within(block: Column, base: Column) -> Column:
+    df = df.withColumn("_based", F.transform("_blocks", with_base))
+
+    def within(b: Column) -> Column:
         def place(p: Column, i: Column) -> Column:
-            start = base + total(F.slice(block, F.lit(1), i)) + p["lead"]
-            return F.struct(start.alias("start_pos"), p["text"].alias("n"))
+            start = total(F.slice(b["block"], F.lit(1), i)) + p["lead"]
+            own = [F.substring(b["own"], start + 1, p["text"]).alias("sentence")] if sentence else []
+            return F.struct((b["base"] + start).alias("start_pos"), (b["base"] + start + p["text"]).alias("end_pos"), *own)
 
-        return F.transform(block, place)
+        return F.filter(F.transform(b["block"], place), lambda u: u["end_pos"] > u["start_pos"])
 
-    found = F.flatten(F.transform("_sized", lambda s, i: within(s["block"], total(F.slice("_sized", F.lit(1), i)))))
-    units = F.transform(F.filter(found, lambda p: p["n"] > 0), lambda p: F.struct(p["start_pos"], (p["start_pos"] + p["n"]).alias("end_pos")))
-    return df.withColumn(out, units).drop("_pieces", "_sized")
+    return df.withColumn(out, F.flatten(F.transform("_based", within))).drop("_pieces", "_blocks", "_sizes", "_based")
 
 
-def sentences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sentences(df: DataFrame, id: str = "doc_id", text: str = "text", sentence: bool = True) -> DataFrame:
     """id, unit, start_pos, end_pos, sentence: the units of each row's text, in one pass without a shuffle.
 
     Positions count code points from 0, the end is exclusive, white space around a unit is
     outside it and every other character lies in exactly one unit. Null, empty and blank
     texts have no unit. Repeated rows give their units again; null ids stay; other columns
-    are not read.
+    are not read. sentence=False leaves the units' text out and is cheaper.
     """
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    found = places(marked(rows, "_text", "_w"), "_w", "_p")
+    found = places(marked(rows, "_text", "_w"), "_text", "_w", "_p", sentence)
     # Outer: else the optimizer filters by the size of the array before it is computed, and for
     # that writes the whole chain out again at each of its steps.
-    units = found.select("_id", "_text", F.posexplode_outer("_p").alias("unit", "_p")).where(F.col("unit").isNotNull())
-    return units.select(
-        F.col("_id").alias(id),
-        "unit",
-        F.col("_p.start_pos").alias("start_pos"),
-        F.col("_p.end_pos").alias("end_pos"),
-        F.substring("_text", F.col("_p.start_pos") + 1, F.col("_p.end_pos") - F.col("_p.start_pos")).alias("sentence"),
-    )
+    units = found.select("_id", F.posexplode_outer("_p").alias("unit", "_p")).where(F.col("unit").isNotNull())
+    return units.select(F.col("_id").alias(id), "unit", "_p.*")
