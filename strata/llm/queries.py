@@ -47,6 +47,11 @@ def p1_weekly_merge(spark, d):
     return distinct.estimate(distinct.merge(weeks, ("week", "type")), ("week", "type"))
 
 
+def p1_registers(spark, d):
+    """The mergeable partial result of the finest groups: registers per day, type and stage."""
+    return distinct.registers(telemetry(spark, d, "key"), "key", GROUPS, hash="md5")
+
+
 def _keys(spark, d):
     """Keys of both tables as bytes."""
     names = ("telemetry_event", "change_log")
@@ -85,6 +90,11 @@ def p5_percentiles(spark, d):
     return quantiles.quantiles(quantiles.cube(cells, GROUPS, ("day",)), (*GROUPS, *BY))
 
 
+def p5_digests(spark, d):
+    """The mergeable partial result of the finest groups: counted tree nodes per day, type and stage."""
+    return quantiles.digests(telemetry(spark, d, "duration_ms"), "duration_ms", GROUPS)
+
+
 def p5_rank_check(spark, d):
     """Whether the answers of p5_percentiles for types keep their bound, against the exact ranks of the data."""
     rows = telemetry(spark, d, "duration_ms").where("duration_ms IS NOT NULL")
@@ -133,11 +143,13 @@ QUERIES: dict[str, Query] = {
     "p1_distinct": p1_distinct,
     "p1_distinct_portable": p1_distinct_portable,
     "p1_weekly_merge": p1_weekly_merge,
+    "p1_registers": p1_registers,
     "p2_found": p2_found,
     "p2_heavy_counts": p2_heavy_counts,
     "p4_found": p4_found,
     "p4_wrong_rate": p4_wrong_rate,
     "p5_percentiles": p5_percentiles,
+    "p5_digests": p5_digests,
     "p5_rank_check": p5_rank_check,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
@@ -178,6 +190,7 @@ SQL: dict[str, str] = {
 sets AS (SELECT day, type, stage, bucket, max(rank) AS rank, {_BY_SQL} FROM cells GROUP BY CUBE (day, type, stage), bucket),
 kept AS (SELECT * FROM sets WHERE NOT by_day OR day IS NOT NULL),
 {_estimate_sql("kept", "day, type, stage, by_day, by_type, by_stage")}""",
+    "p1_registers": f"WITH {_CELLS} SELECT day, type, stage, CAST(bucket AS INT) AS bucket, CAST(max(rank) AS INT) AS rank FROM cells GROUP BY ALL",
     "p1_weekly_merge": f"""WITH {_CELLS},
 weeks AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, type, bucket, max(rank) AS rank FROM cells WHERE day IS NOT NULL GROUP BY ALL),
 {_estimate_sql("weeks", "week, type")}""",
