@@ -46,11 +46,13 @@ _PIECE = regex.compile(
     rf"|(?P<word>{_LETTER}+(?:(?:[\p{{Cf}}'’ʼ]+|-\r?\n){_LETTER}+)*)|(?P<char>[{_CJK}])",
     regex.V1,
 )
+_WORDS = regex.compile(rf"{_LETTER}+(?:(?:[\p{{Cf}}'’ʼ]+|-\r?\n){_LETTER}+)*|[{_CJK}]", regex.V1)
 _INLINE = regex.compile(r"</?(?:a|abbr|b|code|del|em|font|i|ins|mark|s|small|span|strong|sub|sup|u)\b[^<>]*>", regex.I)
 # Letters that look alike.
 _CYRILLIC = "асеіјорхуѕһԛԝвкмнтοαρνικχυε"
 _LATIN = "aceijopxyshqwbkmhtoapvikxue"
 _TO_LATIN, _TO_CYRILLIC = str.maketrans(_CYRILLIC, _LATIN), str.maketrans("aceopxykmtbh", "асеорхукмтвн")
+_CHAR = regex.compile(f"[{_CJK}]")
 _FORMS: dict[str, str] = {}
 
 
@@ -101,6 +103,14 @@ def units(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return out, spots
 
 
+def plain_units(text: str) -> list[str] | None:
+    """The words of units, without places and in less time; None for texts with markup."""
+    if "<" in text or "&" in text or "[" in text:
+        return None
+    known = _FORMS
+    return [f for w in _WORDS.findall(text) if (f := known[w] if w in known else _form(w))]
+
+
 def digits(words: list[str], spots: list[tuple[int, int]]) -> tuple[list[str], list[tuple[int, int]]]:
     """Numbers cut into digits, as Chinese and Japanese texts are cut into characters."""
     if not any(len(w) > 1 and w.isdigit() for w in words):
@@ -115,7 +125,7 @@ def passage(text: str) -> str:
 
 
 def _is_cjk(unit: str) -> bool:
-    return len(unit) == 1 and regex.match(f"[{_CJK}]", unit) is not None
+    return len(unit) == 1 and unit > "\u2e7f" and _CHAR.match(unit) is not None
 
 
 def _deletes(word: str) -> set[str]:
@@ -174,6 +184,11 @@ class Index:
                 return self.near[d]
         return word
 
+    def touches(self, words: list[str], chars: bool) -> bool:
+        """Whether any window of the words is an n-gram of a passage."""
+        n = GRAM_CHARS if chars else GRAM_WORDS
+        return not self.grams.keys().isdisjoint(zip(*[words[s:] for s in range(n)]))
+
     def hits(self, words: list[str], chars: bool) -> dict[int, list[tuple[int, int, bool]]]:
         """By item, (place in the text, place in the passage, whether the n-gram is its own)."""
         out: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
@@ -247,7 +262,7 @@ def stretches(index: Index, words: list[str], k: int, hits: list[tuple[int, int,
 
 
 def _find(index: Index, words: list[str], spots: list[tuple[int, int]], chars: bool) -> list[tuple]:
-    if not index.hits(words, chars):
+    if not index.touches(words, chars):
         return []
     words = [index.mend(w) for w in words]
     least = LEAST_CHARS if chars else LEAST_WORDS
@@ -269,6 +284,10 @@ def find(index: Index, text: str | None) -> list[tuple]:
     """(item, start, end, size) of the leaked stretches of a text, the largest of each item."""
     if not text:
         return []
+    quick = plain_units(text)
+    if quick is not None and not index.touches(quick, False):
+        if not index.has_chars or not any(map(_is_cjk, quick)) or not index.touches(digits(quick, [(0, 0)] * len(quick))[0], True):
+            return []
     words, spots = units(text)
     out = _find(index, words, spots, False)
     if index.has_chars and any(map(_is_cjk, words)):
