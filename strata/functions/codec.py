@@ -19,14 +19,9 @@ def _be(col: Column, size: int) -> Column:
     return F.unhex(F.substring(F.lpad(F.hex(col.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size))
 
 
-def _number(code: Column, start: int, size: int) -> Column:
-    return F.conv(F.hex(F.substring(code, start, size)), 16, 10).cast("bigint")
-
-
-def _long(code: Column, start: int) -> Column:
-    """Eight bytes as a signed number: the first bit counts negative."""
-    high, low = _number(code, start, 4), _number(code, start + 4, 4)
-    return F.shiftleft(F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high), 32).bitwiseOR(low)
+def _number(digits: Column, start: int, size: int) -> Column:
+    """Bytes of a string of hexadecimal digits as a number."""
+    return F.conv(F.substring(digits, 2 * start - 1, 2 * size), 16, 10).cast("bigint")
 
 
 def encode_payload(key: Column, value: Column, ts: Column, is_deleted: Column) -> Column:
@@ -48,20 +43,31 @@ def decode_record(frame: Column) -> Column:
     A frame whose lengths do not match exactly or whose checksum is wrong raises; bit 31
     clear means no checksum. A null frame gives null. The value of a tombstone is null.
     """
-    marked = _number(frame, 1, 4)
-    has_crc = marked >= CRC_FLAG
-    size = F.when(has_crc, marked - CRC_FLAG).otherwise(marked)
-    payload = F.substring(frame, F.lit(5), size.cast("int"))
-    key_size, value_size = _number(payload, 1, 4), _number(payload, 5, 4)
-    whole = (F.length(frame) == size + F.when(has_crc, 8).otherwise(4)) & (size == key_size + value_size + HEADER)
-    crc = F.crc32(payload) == _number(F.substring(frame, F.length(frame) - 3, F.lit(4)), 1, 4)
-    deleted = F.hex(F.substring(payload, 17, 1)) == "01"
-    value = F.substring(payload, F.lit(HEADER + 1) + key_size.cast("int"), value_size.cast("int"))
-    record = F.struct(
-        F.substring(payload, F.lit(HEADER + 1), key_size.cast("int")).alias("key"),
-        F.when(~deleted, value).alias("value"),
-        _long(payload, 9).alias("ts"),
-        deleted.alias("is_deleted"),
+    head = F.hex(F.substring(frame, 1, 4 + HEADER))
+    high, low = _number(head, 13, 4), _number(head, 17, 4)
+    parsed = F.struct(
+        _number(head, 1, 4).alias("marked"),
+        _number(head, 5, 4).cast("int").alias("key_size"),
+        _number(head, 9, 4).cast("int").alias("value_size"),
+        # Eight bytes as a signed number: the first bit counts negative.
+        F.shiftleft(F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high), 32).bitwiseOR(low).alias("ts"),
+        (F.substring(head, 41, 2) == "01").alias("deleted"),
     )
-    wrong = F.when(~whole, F.raise_error(F.lit("invalid record encoding"))).when(has_crc & ~crc, F.raise_error(F.lit("record crc mismatch")))
-    return F.when(frame.isNull(), F.lit(None)).when(~whole | (has_crc & ~crc), wrong).otherwise(record)
+
+    def check(p: Column) -> Column:
+        has_crc = p["marked"] >= CRC_FLAG
+        size = p["marked"].bitwiseAND(F.lit(CRC_FLAG - 1)).cast("int")
+        payload = F.substring(frame, F.lit(5), size)
+        whole = (F.length(frame) == size + F.when(has_crc, 8).otherwise(4)) & (size == p["key_size"] + p["value_size"] + HEADER)
+        crc = F.crc32(payload) == _number(F.hex(F.substring(frame, size + 5, F.lit(4))), 1, 4)
+        record = F.struct(
+            F.substring(payload, F.lit(HEADER + 1), p["key_size"]).alias("key"),
+            F.when(~p["deleted"], F.substring(payload, F.lit(HEADER + 1) + p["key_size"], p["value_size"])).alias("value"),
+            p["ts"].alias("ts"),
+            p["deleted"].alias("is_deleted"),
+        )
+        wrong = F.when(~whole, F.raise_error(F.lit("invalid record encoding"))).otherwise(F.raise_error(F.lit("record crc mismatch")))
+        return F.when(F.coalesce(whole & (~has_crc | crc), F.lit(False)), record).otherwise(wrong)
+
+    # An array of one, so that the header is parsed once for all that is made of it.
+    return F.when(frame.isNotNull(), F.transform(F.array(parsed), check)[0])

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode_record, encode_record
 from ..operators.change_feed import apply_feed, current_state
 from ..operators.fold import fold, is_put, live
-from ..operators.lookup import index_seek, multi_get
-from ..sources.runs import sparse_index
+from ..operators.lookup import index_seek, multi_get, sparse_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -6,15 +6,15 @@ import time
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.fold import fold, is_put
+from ..operators.lookup import sparse_index
 from ..schema import CHANGE, Options
 from ..sources import manifest as M
-from ..sources.runs import ddl, read_runs, sparse_index, verify_pages, write_run
+from ..sources.runs import ddl, read_runs, verify_pages, write_run
 from ..sources.shared import Fs
 from ..telemetry import Telemetry
 
@@ -22,6 +22,10 @@ from ..telemetry import Telemetry
 BROADCAST_KEYS = 10_000
 
 
+#: Names of applied batches that the manifest remembers.
+BATCHES = 1000
+
+
 class Closed(RuntimeError):
     """The store is closed."""
 
@@ -134,7 +138,9 @@ class Store:
         )
         out.write.mode("overwrite").parquet(path)
         m = seen.get
-        batches = {**self._m.batches, batch_id: n} if batch_id is not None else self._m.batches
+        batches = self._m.batches
+        if batch_id is not None:  # a stream only ever repeats its last batch
+            batches = dict([*batches.items(), (batch_id, n)][-BATCHES:])
         if not m["n"]:
             self._fs.delete(path[len(self.path) + 1 :])
             if batch_id is not None:
@@ -340,13 +346,8 @@ class Store:
     def snapshot(self) -> DataFrame:
         """One row of counters (TL3, TL4, Q15): real key counts besides those of the unflushed log."""
         self._check()
-        latest = self.latest().persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            live, total = latest.where(is_put()).count(), latest.count()
-        finally:
-            latest.unpersist()
-        memtable = self.recover().count()
-        return self.telemetry.snapshot(total, live, memtable, self._m)
+        n = self.latest().agg(F.count(F.lit(1)).alias("total"), F.count(F.when(is_put(), 1)).alias("live")).first()
+        return self.telemetry.snapshot(n.total, n.live, self.recover().count(), self._m)
 
     def events(self) -> DataFrame:
         """The buffered events (TL1)."""

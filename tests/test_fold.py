@@ -3,8 +3,7 @@ import random
 import pytest
 
 from strata.operators.fold import fold, live, merge
-from strata.operators.lookup import index_seek, multi_get
-from strata.sources.runs import sparse_index
+from strata.operators.lookup import index_seek, multi_get, sparse_index
 
 SCHEMA = "key binary, value binary, ts long, seq long, is_deleted boolean"
 
@@ -79,3 +78,24 @@ def test_sparse_index_and_seek(spark):
     probes = ["a", "k000", "k009", "k010", "k0105", "z", None]
     got = {r.key: r.start_pos for r in index_seek(spark.createDataFrame([(p,) for p in probes], "key string"), idx).collect()}
     assert got == {"a": None, "k000": 0, "k009": 0, "k010": 10, "k0105": 10, "z": 90, None: None}
+
+
+def test_positions_over_ranges_of_many_runs(spark):
+    rows = [(r, f"k{i:04d}") for r, n in ((0, 1), (1, 500), (2, 77)) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    got = {(r.run_id, r.key): r.pos for r in sparse_index(spark.createDataFrame(rows, "run_id int, key string").repartition(5), 7).collect()}
+    assert got == {(r, f"k{i:04d}"): i for r, n in ((0, 1), (1, 500), (2, 77)) for i in range(0, n, 7)}
+
+
+def test_seek_against_a_search(spark):
+    import bisect
+
+    rnd = random.Random(2)
+    entries = sorted({rnd.randrange(10**6) for _ in range(300)})
+    probes = [rnd.randrange(10**6) for _ in range(1000)] + entries[:5]
+    idx = spark.createDataFrame([(f"{k:07d}", p * 10) for p, k in enumerate(entries)], "key string, pos int")
+    got = {r.key: r.start_pos for r in index_seek(spark.createDataFrame([(f"{p:07d}",) for p in probes], "key string").repartition(4), idx).collect()}
+    want = {f"{p:07d}": (j - 1) * 10 if (j := bisect.bisect_right(entries, p)) else None for p in probes}
+    assert got == want
+    none = index_seek(spark.createDataFrame([("a",)], "key string"), idx.where("false")).collect()
+    assert [(r.key, r.start_pos) for r in none] == [("a", None)]
