@@ -141,7 +141,8 @@ def record_codec(spark, d):
     """FN6, FN7, SK3: change_log rows encoded as framed log entries and decoded again."""
     c = table(spark, d, "change_log")
     e = encode_record(F.col("key"), F.col("value"), F.col("ts"), F.coalesce("is_deleted", F.lit(False)))
-    r = c.where(F.col("key").isNotNull()).select("seq", decode_record(e).alias("r"), F.length(e).alias("n_bytes"))
+    frames = c.where(F.col("key").isNotNull()).select("seq", e.alias("e"))
+    r = frames.select("seq", decode_record(F.col("e")).alias("r"), F.length("e").alias("n_bytes"))
     return r.select("seq", F.hex("r.key").alias("key_hex"), F.hex("r.value").alias("value_hex"), "r.ts", "r.is_deleted", "n_bytes")
 
 
