@@ -11,11 +11,11 @@ from .ranges import carried, ranged
 def multi_get(keys: DataFrame, state: DataFrame) -> DataFrame:
     """key, value, found for every row of keys (LK7).
 
-    Repeated keys give as many rows; a null key is not found. state has one row per
+    Repeated keys give as many rows; a null key is not found; other columns of keys are left out. state has one row per
     key, so the join cannot multiply rows; Spark picks broadcast or shuffle by size.
     """
     s = state.select(F.col("key").alias("_key"), "value", F.lit(True).alias("_found"))
-    joined = keys.join(s, F.col("key") == F.col("_key"), "left")
+    joined = keys.select("key").join(s, F.col("key") == F.col("_key"), "left")
     return joined.select("key", "value", F.coalesce("_found", F.lit(False)).alias("found"))
 
 

@@ -14,7 +14,7 @@ from ..operators.fold import fold, is_put
 from ..operators.lookup import sparse_index
 from ..schema import CHANGE, Options
 from ..sources import manifest as M
-from ..sources.runs import ddl, read_runs, verify_pages, write_run
+from ..sources.runs import PARTITION, ddl, read_runs, verify_pages, write_run
 from ..sources.shared import Fs
 from ..telemetry import Telemetry
 
@@ -33,7 +33,7 @@ class Closed(RuntimeError):
 class Store:
     """A log-structured merge store of key changes.
 
-    Layout below its path: log/seg-N (committed batches as they came), runs/run_id=N-X
+    Layout below its path: log/seg-N (committed batches as they came), runs/strata_run=N-X
     (folded, bucketed and sorted), _manifest/vN.json. The valid change of a key is
     the one with the greatest (ts, seq) over all layers; tombstones are kept in
     the runs and filtered after the fold. Flush and compaction run inside the call.
@@ -64,6 +64,8 @@ class Store:
             missing = {"key", "ts", "seq", "is_deleted"} - set(schema.fieldNames())
             if missing:
                 raise ValueError(f"schema lacks {sorted(missing)}")
+            if PARTITION in schema.fieldNames():
+                raise ValueError(f"{PARTITION} is no column name of a store")
             buckets = options.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             state = M.commit(fs, M.Manifest(), buckets=buckets, columns=ddl(schema))
         store = cls(spark, path, options, fs, state)
@@ -210,7 +212,7 @@ class Store:
 
     def _write(self, rows: DataFrame, level: int) -> M.Run | None:
         n = self._m.next_run
-        path = f"{self.path}/runs/run_id={n}-{uuid.uuid4().hex}"  # no writer touches another's files
+        path = f"{self.path}/runs/{PARTITION}={n}-{uuid.uuid4().hex}"  # no writer touches another's files
         before = self.spark.conf.get("spark.sql.shuffle.partitions")
         self.spark.conf.set("spark.sql.shuffle.partitions", self._m.buckets)
         try:
@@ -231,7 +233,7 @@ class Store:
         while (level := self._m.overfull(self.options.fanout)) is not None:
             began = time.monotonic()
             inputs = self._m.levels()[level]
-            run = self._write(self._scan(inputs).drop("run_id"), level + 1)
+            run = self._write(self._scan(inputs).drop(PARTITION), level + 1)
             gone = {r.run_seq for r in inputs}
             kept = tuple(r for r in self._m.runs if r.run_seq not in gone)
             self._commit(runs=(*kept, run), next_run=run.run_seq + 1, compactions=self._m.compactions + 1)
@@ -267,7 +269,7 @@ class Store:
         """All layers; of the runs only those whose keys can lie in [lo, hi], in hexadecimal."""
         runs = [r for r in self._m.runs if lo is None or (r.min_key <= hi and r.max_key >= lo)]
         pending = self._m.pending()
-        out = self._scan(runs).drop("run_id") if runs else None
+        out = self._scan(runs).drop(PARTITION) if runs else None
         if pending:
             log = self._log(pending)
             out = log if out is None else out.unionByName(log)
@@ -319,7 +321,8 @@ class Store:
         self._check()
         if not self._m.runs:
             return self.spark.createDataFrame([], "run_id long, key binary, pos long")
-        return sparse_index(self._scan(self._m.runs).select("run_id", "key"), self.options.sparse_index_gap)
+        keys = self._scan(self._m.runs).select(F.col(PARTITION).alias("run_id"), "key")
+        return sparse_index(keys, self.options.sparse_index_gap)
 
     def manifest_df(self) -> DataFrame:
         """One row per live run (SC9, SC10)."""

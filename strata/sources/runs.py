@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from .manifest import Run
 
 
+#: Name of the column that tells the runs of a scan apart; stores have no such column of their own.
+PARTITION = "strata_run"
+
+
 def verify_pages(spark: SparkSession) -> None:
     """Have Parquet check page checksums, so that damage raises instead of passing as data."""
     conf = spark._jsc.hadoopConfiguration()
@@ -58,7 +62,7 @@ def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int,
 
 
 def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str, buckets: int) -> DataFrame:
-    """The given (run_seq, path) runs as one bucketed DataFrame; path ends in run_id=N-X and gives run_id, N.
+    """The given (run_seq, path) runs as one bucketed DataFrame; path ends in strata_run=N-X and gives strata_run, N.
 
     The relation is built from the files alone. Spark's reader has no way to state
     buckets without a catalog table, hence the call into its DataSource class.
@@ -67,16 +71,16 @@ def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str
     some = jvm.scala.Option.apply
     names = utils.toSeq(["key"])
     spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, names, names)
-    schema = spark._jsparkSession.parseDataType(T._parse_datatype_string(f"{columns}, run_id string").json())
+    schema = spark._jsparkSession.parseDataType(T._parse_datatype_string(f"{columns}, {PARTITION} string").json())
     relation = jvm.org.apache.spark.sql.execution.datasources.DataSource(
         spark._jsparkSession,
         "parquet",
         utils.toSeq([path for _, path in runs]),
         some(schema),
-        utils.toSeq(["run_id"]),
+        utils.toSeq([PARTITION]),
         some(spec),
         utils.toScalaMap({"basePath": runs[0][1].rsplit("/", 1)[0]}),
         some(None),
     ).resolveRelation(True, True)
     df = DataFrame(spark._jsparkSession.baseRelationToDataFrame(relation), spark)
-    return df.withColumn("run_id", F.substring_index("run_id", "-", 1).cast("bigint"))
+    return df.withColumn(PARTITION, F.substring_index(PARTITION, "-", 1).cast("bigint"))

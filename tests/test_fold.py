@@ -65,7 +65,7 @@ def test_fold_against_a_dictionary(spark, seed):
 
 def test_multi_get_keeps_rows(spark):
     state = spark.createDataFrame([("a", "1"), ("b", None)], "key string, value string")
-    keys = spark.createDataFrame([("a",), ("a",), ("b",), ("z",), (None,)], "key string")
+    keys = spark.createDataFrame([(k, "x", 1) for k in ("a", "a", "b", "z", None)], "key string, value string, found int")
     got = sorted(map(tuple, multi_get(keys, state).collect()), key=str)
     assert got == sorted([("a", "1", True), ("a", "1", True), ("b", None, True), ("z", None, False), (None, None, False)], key=str)
 

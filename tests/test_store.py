@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators.change_feed import apply_feed, current_state
 from strata.operators.fold import fold
@@ -107,13 +108,13 @@ def test_leftovers_are_ignored_and_vacuumed(spark, folder, tmp_path):
     s = Store.open(spark, folder, NEVER)
     put(s, (b"k", b"v"))
     s.flush()
-    for p in ("log/seg-000000000099-1", "runs/run_id=99", "runs/x.tmp"):
+    for p in ("log/seg-000000000099-1", "runs/strata_run=99", "runs/x.tmp"):
         (tmp_path / p).mkdir(parents=True)
         (tmp_path / p / "part.parquet").write_bytes(b"torn")
     s = Store.open(spark, folder, NEVER)
     assert state(s) == {b"k": b"v"}
-    assert "runs/run_id=99" in s.vacuum()
-    assert not (tmp_path / "runs/run_id=99").exists() and state(s) == {b"k": b"v"}
+    assert "runs/strata_run=99" in s.vacuum()
+    assert not (tmp_path / "runs/strata_run=99").exists() and state(s) == {b"k": b"v"}
 
 
 def test_closed_store_refuses(spark, folder):
@@ -238,6 +239,8 @@ def test_feed_handles_dirt(spark):
     df = spark.createDataFrame(rows, "key binary, value binary, ts long, seq long, is_deleted boolean, key_hex string")
     got = {(r.key_hex, r.seq) for r in current_state(apply_feed(df, columns=("value",))).collect()}
     assert got == {("61", 3), ("", 7), ("6E", 8)}
+    clash = apply_feed(df.withColumn("run_id", F.lit(1)).withColumn("level", F.lit(2)))
+    assert clash.state().select("run_id", "level").distinct().count() == 1
     empty = apply_feed(df.where("false"))
     assert current_state(empty).count() == 0
 
