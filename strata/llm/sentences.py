@@ -23,7 +23,7 @@ CLOSE_Q, GAP, ZERO = "\ue034", "\ue03e", "\ue03f"  # directed ", space before a
 OPEN_Q = "\ue045"
 T, FIRM, WIDE, FULL, LOUD = r"\ue010-\ue024", r"\ue012-\ue024", r"\ue020-\ue024", r"\ue022-\ue024", r"\ue020\ue021"
 CLOSE, QUOTED, BRACKETED = r"\ue030-\ue03f", r"\ue030-\ue034", r"\ue035\ue036"
-OPEN, QUOTE, BRACKET = r"\ue040-\ue050", r"\ue040-\ue045", r"\ue046\ue047"
+OPEN = r"\ue040-\ue050"  # first quotation marks, then brackets
 CALM = r"\ue010\ue011\ue015-\ue017\ue01d"  # dots and full stops, but those of Chinese and Japanese
 HIDE = (
     ".…!?؟۔।॥\u037e‼⁇⁈⁉" + "！？。｡．" + "”»」』" + ")）]}】》›’'" + "\u200b\u200c\u2060\ufeff\u00ad\u200e\u200f" + "“«「『„" + "(（[{【《‹‘‚¿¡",
@@ -114,15 +114,18 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = _sub(w, rf"{single}(?<=[{THAI}]{DOT})", HOLD)
 
     # Quotation marks that open and close alike, or the other way round.
-    w = _sub(w, rf"\"(?<![^\s\p{{Z}}{OPEN}—–-]\")(?=[^\s\p{{Z}}])", OPEN_Q)
+    w = _sub(w, rf"\"(?<![^\s\p{{Z}}{OPEN}—–;>-]\")(?=[^\s\p{{Z}}])", OPEN_Q)
     w = _sub(w, r"\"", CLOSE_Q)
     w = _sub(w, r"\ue040(?<=\ue044[^\ue040\ue044\ue030\n]{1,300}\ue040)", CLOSE_Q)
     w = _sub(w, r"[ \u00a0\u202f](?=\ue031)", GAP)
 
     # What is quoted or bracketed ends nothing before its last mark.
-    last = rf"[{T}{GAP}{ZERO}]*+"
-    w = _sub(w, rf"[{T}](?=[^{QUOTE}{QUOTED}{MARK}]{{0,300}}?[^{QUOTE}{QUOTED}{MARK}{T}{GAP}{ZERO}]{last}[{QUOTED}])", HOLD)
-    w = _sub(w, rf"[{T}](?=[^{BRACKET}{BRACKETED}{MARK}]{{0,300}}?[^{BRACKET}{BRACKETED}{MARK}{T}{ZERO}]{last}[{BRACKETED}])", HOLD)
+    # The next quotation mark ahead closes; what lies before it is written as ranges, which match at once.
+    unquoted = r"[\u0000-\ud7ff\ue002-\ue02f\ue035-\ue03f\ue046-\x{10ffff}]{0,300}+"
+    unbracketed = r"[\u0000-\ud7ff\ue002-\ue034\ue037-\ue045\ue048-\x{10ffff}]{0,300}+"
+    last = rf"[{T}{GAP}{ZERO}]{{0,50}}+"
+    w = _sub(w, rf"[{T}](?!{last}[{QUOTED}])(?={unquoted}[{QUOTED}])", HOLD)
+    w = _sub(w, rf"[{T}](?!{last}[{BRACKETED}])(?={unbracketed}[{BRACKETED}])", HOLD)
 
     # A run of marks is tried from its beginning only, else long runs cost the square of their length.
     firm = rf"(?:(?=[{T}])(?<![{T}])[{DOT}{ELLIPSIS}]*+[{FIRM}][{T}]*+)"
