@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_width
+from .names import apart
 
 #: log2 of the registers of a group.
 P = 12
@@ -50,6 +51,7 @@ def registers(df: DataFrame, key: str, groups: Sequence[str], p: int = P, hash:
     """
     if not 4 <= p <= 16:
         raise ValueError("p must lie between 4 and 16")
+    apart(groups, ("bucket", "rank"))
     rest = BITS - p
     h = F.when(F.col(key).isNotNull(), hash60(F.col(key), hash))  # the hash of null is a number, too
     hashed = df.select(*groups, h.alias("_h"))

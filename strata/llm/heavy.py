@@ -22,6 +22,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import apart
+
 PHI = 0.01
 DEPTH = 4
 WIDTH = 2048
@@ -50,6 +52,7 @@ def sketch(df: DataFrame, key: str, group: str, depth: int = DEPTH, width: int =
     so the shuffle carries at most depth * width rows a task and group, and a hot key
     costs no more than any other.
     """
+    apart([group], ("row", "bucket", "total", "_h"))
     h = df.where(F.col(key).isNotNull()).select(F.col(group).alias("_g"), fingerprint(F.col(key)).alias("_h"))
     spots = F.array(*[F.struct(F.lit(r).alias("row"), _bucket(F.col("_h"), r, width).alias("bucket")) for r in range(depth)])
     rows = h.select("_g", "_h", F.explode(spots).alias("s")).select(F.col("_g").alias(group), "s.row", "s.bucket", "_h")
@@ -86,6 +89,7 @@ def frequent(df: DataFrame, key: str, group: str, phi: float = PHI, depth: int =
     byte, the empty key is a key, null keys are left out. Items at the threshold are in.
     An empty table gives no rows, a null group is a group.
     """
+    apart([group, key], ("n", "approx", "n_rows", "at_most", "_g", "_c", "_h"))
     found = candidates(sketch(df, key, group, depth, width), group, phi, width)
     c = found.select(F.col(group).alias("_g"), F.col("_h").alias("_c"), "n_rows", "at_most")
     if depth / phi <= MAX_BROADCAST:  # the bound of the candidates of a group

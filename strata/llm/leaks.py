@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .names import apart
+
 #: Words, or characters of Chinese and Japanese, of a stretch that counts.
 LEAST_WORDS, LEAST_CHARS = 12, 20
 #: Length of the n-grams that are looked up.
@@ -325,6 +327,7 @@ def leaks(
     block. Null and empty texts and items give no rows, items of fewer than three lines have
     no passage, repeated rows give their rows again, other columns are not read.
     """
+    apart([id, item_id], ("start_pos", "end_pos", "size"))
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     names = [id, item_id, "start_pos", "end_pos", "size"]
@@ -356,10 +359,11 @@ def without_leaks(df: DataFrame, found: DataFrame, id: str = "doc_id", text: str
     """
     if not spans:
         return df.join(found.select(id).distinct(), id, "left_anti")
-    cuts = found.groupBy(id).agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias("_cuts"))
+    cut = next(n for n in map("_cuts{}".format, range(len(df.columns) + 1)) if n not in df.columns)
+    cuts = found.groupBy(id).agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias(cut))
     # Keep what lies between the ends reached so far and the next beginning.
     kept = F.aggregate(
-        "_cuts",
+        cut,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, c: F.struct(
             F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.greatest(c["start_pos"] - s["at"], F.lit(0)))).alias("out"),
@@ -368,4 +372,4 @@ def without_leaks(df: DataFrame, found: DataFrame, id: str = "doc_id", text: str
         lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))),
     )
     joined = df.join(cuts, id, "left")
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+    return joined.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept)).select(*df.columns)

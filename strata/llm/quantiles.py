@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_width
+from .names import apart
 
 #: Bits after the leading one that quantization keeps.
 MANTISSA = 10
@@ -61,6 +62,7 @@ def histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
 
     Counted in each map task before the shuffle; a group has at most 2**17 rows.
     """
+    apart(groups, ("node", "n"))
     rows = df.where(F.col(value).isNotNull()).select(*groups, (quantize(F.col(value)) + (1 << DEPTH)).cast("int").alias("node"))
     return rows.groupBy(*groups, "node").agg(F.count(F.lit(1)).alias("n"))
 

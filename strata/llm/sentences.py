@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import apart
+
 # Placeholders. Terminators, closers and openers each have a range of their own, so that a
 # class of them is one comparison.
 HOLD = "\ue000"  # a terminator that ends nothing
@@ -53,15 +55,23 @@ NEVER = (
     "βλ σελ δηλ κα αρ εικ τηλ "
     "डॉ कि ग्रा रु पृ श्री सं"
 ).split()
-# These may, if the next word begins one; · stands for the dot.
-MAYBE = r"etc usw mwst uu u·\s?s u·\s?k [ap]·\s?m т·\s?[дп] др руб коп κ·\s?λπ κτλ min hrs inc ltd corp co jr mm".replace("·", DOT).split()
+# These may, if the next word begins one; · stands for a dot and a possible space.
+MAYBE = "etc usw mwst uu u·s u·k a·m p·m т·д т·п др руб коп κ·λπ κτλ min hrs inc ltd corp co jr mm".split()
 # Only before a number.
 NUMBERED = "no nos p pp fig figs vol s n ch sec art".split()
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mär Apr Jun Jul Aug Sep Sept Okt Nov Dez".split()
 # Words that go on after an abbreviation, where capitals do not tell.
 GOES_ON = "are is was were and or but on in at for to of with which from und oder sind auf für dans et sont y o para и на или для και".split()
 
-_any = "|".join
+# Letters that look alike.
+ALIKE = ("aа", "cс", "eе", "oо", "pр", "xх", "yу", "iі", "sѕ", "mм", "tт", "kк", "hһ", "wԝ", "dԁ", "vѵν", "uυ")
+
+
+def _any(words: list[str]) -> str:
+    """Any of the words, also with look-alike letters, or characters without width after a letter."""
+    classes = {c: f"[{pair}]" for pair in ALIKE for c in pair}
+    spell = lambda w: "".join(rf"{DOT}\s?" if c == "·" else f"{classes.get(c, c)}{ZERO}?" for c in w)
+    return "|".join(spell(w.lower()) for w in words)
 
 
 def _sub(col: Column, pattern: str, by: str) -> Column:
@@ -99,7 +109,7 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = _sub(w, rf"(?m)^({space}[-*•·‣▪●○◦–][{HS}]++{NO_NL}*+)", rf"{MARK}$1{MARK}")
 
     # Dots of abbreviations, initials, ordinals.
-    before = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{ZERO}])"
+    before = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?<![\p{{L}}\p{{M}}\p{{N}}]{ZERO})"
     after = rf"\p{{L}}\p{{N}}"
     begins = rf"(?={WS}*+(?:$|[{OPEN}\"{EMO}\p{{Lu}}{MARK}]))"
     goes_on = rf"(?={WS}*+(?:$|[{OPEN}\"{EMO}{MARK}])|{WS}++(?iu:(?!(?:{_any(GOES_ON)})(?![\p{{L}}\p{{M}}])))[{after}])"
@@ -108,8 +118,8 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = settle(w)
     w = settle(F.when(flat, _sub(w, maybe + goes_on, STOP)).otherwise(_sub(w, maybe + begins, STOP)))
     w = _sub(w, rf"{single}(?iu:(?<={before}(?:{_any(NEVER + MAYBE)}){DOT}))", HOLD)
-    w = _sub(w, rf"{single}(?iu:(?<={before}(?:{_any(NUMBERED)}){DOT}))(?=(?:{WS}|&nbsp;)*\d)", HOLD)
-    w = _sub(w, rf"{single}(?<={before}(?<![:：][{HS}])(?![{CJK}])\p{{L}}\p{{M}}{{0,3}}{DOT})", HOLD)
+    w = _sub(w, rf"{single}(?iu:(?<={before}(?:{_any(NUMBERED)}){DOT}))(?=(?:{WS}|{ZERO}|&nbsp;)*\d)", HOLD)
+    w = _sub(w, rf"{single}(?<={before}(?<![:：][{HS}])(?![{CJK}])\p{{L}}\p{{M}}{{0,3}}{ZERO}?{DOT})", HOLD)
     w = _sub(w, rf"{single}(?<=\d{DOT})(?=(?:{WS}|&nbsp;)++(?iu:{_any(MONTHS)})(?!\p{{L}}))", HOLD)
     w = _sub(w, rf"{single}(?<=[{THAI}]{DOT})", HOLD)
 
@@ -236,6 +246,7 @@ def sentences(df: DataFrame, id: str = "doc_id", text: str = "text", sentence: b
     texts have no unit. Repeated rows give their units again; null ids stay; other columns
     are not read. sentence=False leaves the units' text out and is cheaper.
     """
+    apart([id], ("unit", "start_pos", "end_pos", "sentence"))
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     found = places(marked(rows, "_text", "_w"), "_text", "_w", "_p", sentence)
     # Outer: else the optimizer filters by the size of the array before it is computed, and for

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import apart
+
 #: Where the vocabulary is, unless a path is given.
 VOCABULARY = os.environ.get("STRATA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published pattern of this vocabulary.
@@ -220,6 +222,7 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: st
     vocabulary file is read and hashed by the driver and sent to the executors; its size is
     fixed and checked.
     """
+    apart([id], ("ids",))
     sent = df.sparkSession.sparkContext.broadcast(load(vocabulary))
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
 

@@ -45,6 +45,8 @@ def test_cube_leaves_out_the_missing_day(spark):
     }
 
 
-def test_precision_is_checked(spark):
+def test_precision_and_names_are_checked(spark):
+    with pytest.raises(ValueError):
+        D.registers(spark.createDataFrame([("a", 1)], "key string, rank int"), "key", ["rank"])
     with pytest.raises(ValueError):
         D.registers(spark.createDataFrame([("a",)], "key string"), "key", [], p=3)

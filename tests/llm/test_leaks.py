@@ -86,7 +86,7 @@ def test_table(spark):
 
 
 def test_removal(spark):
-    df = spark.createDataFrame([(1, f"Good. {TEXT} Bye.", "x"), (2, "clean", "y"), (3, None, None)], "doc_id long, text string, _cut string")
+    df = spark.createDataFrame([(1, f"Good. {TEXT} Bye.", "x"), (2, "clean", "y"), (3, None, None)], "doc_id long, text string, _cuts0 string")
     items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     hits = L.leaks(df, items)
     assert {r.doc_id: r.text for r in L.without_leaks(df, hits).collect()} == {1: "Good.  Bye.", 2: "clean", 3: None}

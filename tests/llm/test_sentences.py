@@ -32,6 +32,7 @@ CASES = [
     "うーん……ふたはまあまあです。|「もう買わない。」と父が言いました。|「もう動かない。」|上司はそれだけ言いました。|1,440円です。",
     "लगभग 3.3 कि.ग्रा. है। |डॉ. Pell के अनुसार ठीक है। |“फिर कभी नहीं!” पड़ोसी ने कहा।",
     "انظر ص. 63 في الدليل. |حقا؟ |«لن أكرر ذلك!» قالت أختي ضاحكة. |رائع!",
+    "Mr. and Mr\u200bs. Pell ha\u200bve one\u200b. |Nr\u00ad. 4 ni\u00adcht\u00ad. |J\u2060. R. Pell. |It stopped at 6 а.m. |Cарt. Pell. |Ｄｒ. Ｐｅｌｌ.",
     "ในกล่องมี 5 ชิ้นกับถุงเล็ก |ดร. Hestle บอกว่าดี |หนัก 20.17 กก. เบากว่า |ไม่คุ้ม",
 ]
 
