@@ -4,24 +4,37 @@
     spark.read.format("strata_native").option("kind", "log").load(folder)
 
 Frames are those of functions.codec. A log's torn tail ends it cleanly; a wrong checksum
-raises. Run files end with a footer that says where their records end.
+raises. Run files hold records sorted by key, a Bloom filter, a sparse index and a footer.
+Large run files are read in pieces, cut at index entries. With the option key, in
+hexadecimal, only the places that may hold that key are read: files whose filter knows it,
+from the last index entry that is not above it to the next.
+
+    df.sortWithinPartitions("key").write.format("strata_native").option("kind", "run").save(folder)
 """
 
 from __future__ import annotations
 
+import bisect
+import mmap
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.bloom import Bloom, size_for
+
 # Fixed values of the format.
 FOOTER = struct.Struct(">QIIIQI8s")
 MAGIC = b"BTSSTB2X"
 FLAG = 1 << 31
 HEAD = struct.Struct(">IIqB")
+#: Bytes of a run file that one task reads, about.
+PIECE = 64 << 20
 SCHEMA = "key binary, value binary, ts bigint, is_deleted boolean, file string, pos bigint"
 LOG_NAME = re.compile(r"wal-(\d+)\.log|wal\.log")
 RUN_NAME = re.compile(r"(?:l(\d+)-)?sst-(\d+)\.sst")
@@ -38,24 +51,24 @@ def frame(key: bytes, value: bytes | None, ts: int, is_deleted: bool) -> bytes:
     return struct.pack(">I", len(payload) | FLAG) + payload + struct.pack(">I", zlib.crc32(payload))
 
 
-def frames(data: bytes, end: int, torn_is_end: bool) -> Iterator[tuple]:
-    """(key, value, ts, is_deleted, position) of the frames of data[:end].
+def frames(data, end: int, torn_is_end: bool, start: int = 0) -> Iterator[tuple]:
+    """(key, value, ts, is_deleted, position) of the frames of data[start:end].
 
     A frame that is cut short, or a length of zero, ends a log; in a run it raises.
     """
-    view, at = memoryview(data), 0
+    at = start
     while at < end:
         start = at
         if at + 4 <= end:
-            (marked,) = struct.unpack_from(">I", view, at)
+            (marked,) = struct.unpack_from(">I", data, at)
             size = marked & ~FLAG
             stop = at + 4 + size + (4 if marked & FLAG else 0)
         if at + 4 > end or not size or stop > end:
             if torn_is_end:
                 return
             raise Corrupt(f"record cut short at byte {start}")
-        payload = view[at + 4 : at + 4 + size]
-        if marked & FLAG and struct.unpack_from(">I", view, at + 4 + size)[0] != zlib.crc32(payload):
+        payload = data[at + 4 : at + 4 + size]
+        if marked & FLAG and struct.unpack_from(">I", data, at + 4 + size)[0] != zlib.crc32(payload):
             raise Corrupt(f"record crc mismatch at byte {start}")
         if size < HEAD.size:
             raise Corrupt(f"invalid record encoding at byte {start}")
@@ -69,15 +82,64 @@ def frames(data: bytes, end: int, torn_is_end: bool) -> Iterator[tuple]:
         at = stop
 
 
-def run_end(data: bytes) -> int:
-    """Where the records of a run file end, from its footer."""
-    if len(data) < FOOTER.size:
-        raise Corrupt("file without a footer")
-    index_at, _, _, _, bloom_at, bloom_size, magic = FOOTER.unpack(data[-FOOTER.size :])
-    end = bloom_at if bloom_size else index_at
-    if magic != MAGIC or end > len(data) - FOOTER.size:
-        raise Corrupt("wrong footer")
-    return end
+@dataclass
+class Run:
+    """What the end of a run file says: where its records end, its index and its filter."""
+
+    end: int
+    keys: list[bytes]
+    offsets: list[int]
+    bloom: Bloom | None
+
+    @classmethod
+    def of(cls, data) -> Run:
+        size = len(data)
+        if size < FOOTER.size:
+            raise Corrupt("file without a footer")
+        index_at, n_index, _, _, bloom_at, bloom_size, magic = FOOTER.unpack(data[size - FOOTER.size :])
+        end = bloom_at if bloom_size else index_at
+        if magic != MAGIC or not end <= index_at <= size - FOOTER.size or bloom_at + bloom_size > index_at:
+            raise Corrupt("wrong footer")
+        keys, offsets, at = [], [], index_at
+        for _ in range(n_index):
+            if at + 12 > size - FOOTER.size:
+                raise Corrupt("index cut short")
+            (n,) = struct.unpack_from(">I", data, at)
+            keys.append(bytes(data[at + 4 : at + 4 + n]))
+            offsets.append(struct.unpack_from(">Q", data, at + 4 + n)[0])
+            at += 12 + n
+        bloom = Bloom.unpack(bytes(data[bloom_at : bloom_at + bloom_size])) if bloom_size else None
+        return cls(end, keys, offsets, bloom)
+
+    def pieces(self, most: int = PIECE) -> list[tuple[int, int]]:
+        """Ranges of records that begin at index entries, each of about `most` bytes."""
+        cuts = [0]
+        for o in self.offsets:
+            if o - cuts[-1] >= most:
+                cuts.append(o)
+        return list(zip(cuts, [*cuts[1:], self.end])) if self.end else []
+
+    def seek(self, key: bytes) -> tuple[int, int] | None:
+        """The range of records in which a key can be, None if it cannot be there (LK4, LK5)."""
+        if self.bloom is not None and not self.bloom.might_contain(key):
+            return None
+        if not self.offsets:
+            return (0, self.end)
+        i = bisect.bisect_right(self.keys, key) - 1
+        if i < 0:
+            return None
+        return self.offsets[i], self.offsets[i + 1] if i + 1 < len(self.offsets) else self.end
+
+
+@contextmanager
+def _mapped(path: str):
+    """The bytes of a file, read as they are asked for."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:  # an empty file cannot be mapped
+            yield b""
+            return
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield data
 
 
 def log_files(folder: str) -> list[str]:
@@ -96,28 +158,37 @@ def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-class _File(InputPartition):
-    def __init__(self, folder: str, name: str) -> None:
+class _Piece(InputPartition):
+    def __init__(self, name: str, start: int, end: int | None) -> None:
         super().__init__(name)
-        self.folder, self.name = folder, name
+        self.name, self.start, self.end = name, start, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, kind: str) -> None:
-        self.folder, self.kind = folder, kind
+    def __init__(self, folder: str, kind: str, key: bytes | None) -> None:
+        self.folder, self.kind, self.key = folder, kind, key
 
     def partitions(self) -> list[InputPartition]:
-        names = log_files(self.folder) if self.kind == "log" else run_files(self.folder)
-        return [_File(self.folder, n) for n in names]
+        if self.kind == "log":
+            return [_Piece(n, 0, None) for n in log_files(self.folder)]
+        out = []
+        for name in run_files(self.folder):
+            with _mapped(os.path.join(self.folder, name)) as data:
+                run = Run.of(data)
+            found = run.pieces() if self.key is None else [run.seek(self.key)]
+            out += [_Piece(name, *f) for f in found if f]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not isinstance(partition, _File):
-            return  # an empty folder has no file to read
-        with open(os.path.join(partition.folder, partition.name), "rb") as f:
-            data = f.read()
-        log = self.kind == "log"
-        for key, value, ts, deleted, pos in frames(data, len(data) if log else run_end(data), log):
-            yield key, value, ts, deleted, partition.name, pos
+        if not isinstance(partition, _Piece):
+            return  # no file to read
+        with _mapped(os.path.join(self.folder, partition.name)) as data:
+            end = len(data) if partition.end is None else partition.end
+            for key, value, ts, deleted, pos in frames(data, end, self.kind == "log", partition.start):
+                if self.key is None or key == self.key:
+                    yield key, value, ts, deleted, partition.name, pos
+                elif self.kind == "run" and key > self.key:
+                    return
 
 
 class _Done(WriterCommitMessage):
@@ -126,10 +197,37 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One archive for each task, named when all have ended; a failed task leaves no archive."""
-
-    def __init__(self, folder: str, names: list[str]) -> None:
-        self.folder, self.at = folder, [names.index(n) for n in ("key", "value", "ts", "is_deleted")]
+    """One file for each task that has rows, named when all have ended; a failed task leaves none."""
+
+    def __init__(self, folder: str, names: list[str], kind: str, level: int, gap: int) -> None:
+        self.folder, self.kind, self.level, self.gap = folder, kind, level, gap if gap > 0 else 10
+        self.at = [names.index(n) for n in ("key", "value", "ts", "is_deleted")]
+
+    def _records(self, rows: Iterator) -> Iterator[tuple[bytes, bytes]]:
+        for row in rows:
+            key, value, ts, deleted = (row[i] for i in self.at)
+            yield bytes(key), frame(bytes(key), value, ts, bool(deleted))
+
+    def _write_run(self, f, rows: Iterator) -> int:
+        """Records, filter, index and footer; keys must ascend."""
+        keys: list[bytes] = []
+        index, at = b"", 0
+        entries = 0
+        for key, data in self._records(rows):
+            if keys and key <= keys[-1]:
+                raise ValueError("rows of a run must be sorted by key, one for each key: use sortWithinPartitions")
+            if len(keys) % self.gap == 0:
+                index += struct.pack(">I", len(key)) + key + struct.pack(">Q", at)
+                entries += 1
+            keys.append(key)
+            f.write(data)
+            at += len(data)
+        if keys:
+            bloom = Bloom(*size_for(len(keys)))
+            bloom.add(*keys)
+            block = bloom.pack()
+            f.write(block + index + FOOTER.pack(at + len(block), entries, len(keys), self.gap, at, len(block), MAGIC))
+        return len(keys)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -137,19 +235,33 @@ class _Writer(DataSourceWriter):
         context = TaskContext.get()
         os.makedirs(self.folder, exist_ok=True)
         name = f".task-{context.partitionId():06d}-{context.taskAttemptId()}.tmp"
-        with open(os.path.join(self.folder, name), "wb") as f:
-            for row in rows:
-                key, value, ts, deleted = (row[i] for i in self.at)
-                f.write(frame(bytes(key), value, ts, bool(deleted)))
-            f.flush()
-            os.fsync(f.fileno())
+        path = os.path.join(self.folder, name)
+        try:
+            with open(path, "wb") as f:
+                if self.kind == "run":
+                    self._write_run(f, rows)
+                else:
+                    for _, data in self._records(rows):
+                        f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+        except BaseException:
+            os.remove(path)
+            raise
         return _Done(name)
 
     def commit(self, messages: list) -> None:
-        numbers = [int(m[1]) for n in os.listdir(self.folder) if (m := LOG_NAME.fullmatch(n)) and m[1]]
-        first = max(numbers, default=0) + 1
-        for i, m in enumerate(sorted((m for m in messages if m), key=lambda m: m.name)):
-            os.rename(os.path.join(self.folder, m.name), os.path.join(self.folder, f"wal-{first + i:06d}.log"))
+        pattern, number = (RUN_NAME, 2) if self.kind == "run" else (LOG_NAME, 1)
+        taken = [int(m[number]) for n in os.listdir(self.folder) if (m := pattern.fullmatch(n)) and m[number]]
+        next_number = max(taken, default=0) + 1
+        for name in sorted(m.name for m in messages if m):
+            path = os.path.join(self.folder, name)
+            if not os.path.getsize(path):  # a task without rows
+                os.remove(path)
+                continue
+            new = f"l{self.level}-sst-{next_number:020d}.sst" if self.kind == "run" else f"wal-{next_number:06d}.log"
+            os.rename(path, os.path.join(self.folder, new))
+            next_number += 1
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -167,11 +279,16 @@ class NativeFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
+    def _kind(self) -> str:
         kind = self.options.get("kind", "log")
         if kind not in ("log", "run"):
             raise ValueError(f"kind is log or run, not {kind}")
-        return _Reader(_local(self.options["path"]), kind)
+        return kind
+
+    def reader(self, schema) -> DataSourceReader:
+        key = self.options.get("key")
+        return _Reader(_local(self.options["path"]), self._kind(), bytes.fromhex(key) if key is not None else None)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(_local(self.options["path"]), schema.names)
+        level, gap = (int(self.options.get(n, d)) for n, d in (("level", 0), ("gap", 10)))
+        return _Writer(_local(self.options["path"]), schema.names, self._kind(), level, gap)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.bloom import Bloom, bit_places, build, might_contain, places, size_for
 from strata.functions.codec import decode_record, encode_record
-from strata.sources.native import Corrupt, NativeFiles, frame, frames, log_files, run_end, run_files
+from strata.sources.native import Corrupt, NativeFiles, Run, frame, frames, log_files, run_files
 
 VECTORS = [
     (b"k1", b"v1", 1, False, "8000001500000002000000020000000000000001006b3176318fd798ef"),
@@ -83,7 +83,7 @@ def test_native_damage_raises():
     with pytest.raises(Corrupt):
         list(frames(frame(b"k", b"v", 1, False)[:-2], 20, False))
     with pytest.raises(Corrupt):
-        run_end(b"x" * 50)
+        Run.of(b"x" * 50)
 
 
 def test_native_write_and_read_back(spark, tmp_path):
@@ -106,3 +106,26 @@ def test_native_run(spark, tmp_path):
     assert run_files(str(tmp_path)) == ["sst-3.sst", "l1-sst-00000000000000000007.sst"]
     spark.dataSource.register(NativeFiles)
     assert spark.read.format("strata_native").option("kind", "run").load(str(tmp_path)).count() == 4
+
+
+def test_native_run_written_and_sought(spark, tmp_path):
+    spark.dataSource.register(NativeFiles)
+    df = spark.range(500).selectExpr("cast(lpad(cast(id as string), 4, '0') as binary) as key", "cast(if(id % 9 = 0, null, id) as string) as v", "id as ts", "id % 9 = 0 as is_deleted")
+    df = df.withColumn("value", F.col("v").cast("binary")).repartitionByRange(2, "key").sortWithinPartitions("key")
+    folder = str(tmp_path / "run")
+    df.write.format("strata_native").option("kind", "run").option("gap", "7").mode("append").save(folder)
+    assert len(run_files(folder)) == 2
+    read = lambda **o: spark.read.format("strata_native").option("kind", "run").options(**o).load(folder)
+    got = {(bytes(r.key), r.value and bytes(r.value), r.ts, r.is_deleted) for r in read().collect()}
+    assert got == {(b"%04d" % i, None if i % 9 == 0 else b"%d" % i, i, i % 9 == 0) for i in range(500)}
+    for i in (0, 6, 7, 250, 499):
+        assert [r.ts for r in read(key=(b"%04d" % i).hex()).collect()] == [i]
+    assert read(key=b"nothing".hex()).count() == 0
+    data = (tmp_path / "run" / run_files(folder)[0]).read_bytes()
+    run = Run.of(data)
+    assert len(run.pieces(200)) > 5 and run.seek(b"0000")[0] == 0 and run.seek(run.keys[3])[0] == run.offsets[3]
+    assert sum(len(list(frames(data, b, False, a))) for a, b in run.pieces(200)) == len(list(frames(data, run.end, False)))
+    unsorted = df.orderBy(F.desc("key")).coalesce(1)
+    with pytest.raises(Exception):
+        unsorted.write.format("strata_native").option("kind", "run").mode("append").save(folder)
+    assert len(run_files(folder)) == 2 and not list((tmp_path / "run").glob(".*.tmp"))
