@@ -70,6 +70,12 @@ def p2_heavy_counts(spark, d):
     return found.select("table_name", F.hex("key").alias("key_hex"), "n", "n_rows", (F.col("approx") >= F.col("n")).alias("approx_is_bound"))
 
 
+def p2_approximate_counts(spark, d):
+    """The same keys with the count of the sketch, an upper bound, beside the exact one."""
+    found = heavy.frequent(_keys(spark, d), "key", "table_name")
+    return found.select("table_name", F.hex("key").alias("key_hex"), "approx", "n")
+
+
 def _seen(spark, d):
     return seen.classify(spark, f"{d}/change_log.parquet", f"{d}/incoming_record.parquet")
 
@@ -139,6 +145,11 @@ def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"), sentence=False).select("doc_id", "start_pos", "end_pos")
 
 
+def p8_sentences(spark, d):
+    """The sentence units of each document with their text."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_distinct": p1_distinct,
     "p1_distinct_portable": p1_distinct_portable,
@@ -146,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "p1_registers": p1_registers,
     "p2_found": p2_found,
     "p2_heavy_counts": p2_heavy_counts,
+    "p2_approximate_counts": p2_approximate_counts,
     "p4_found": p4_found,
     "p4_wrong_rate": p4_wrong_rate,
     "p5_percentiles": p5_percentiles,
@@ -156,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "p7_leaked_items": p7_leaked_items,
     "p7_clean": p7_clean,
     "p8_found": p8_found,
+    "p8_sentences": p8_sentences,
 }
 
 _REST = distinct.BITS - distinct.P

@@ -53,6 +53,13 @@ def test_column(spark, theirs):
     assert K.encode(df.where("false")).count() == 0
 
 
+def test_round_trip(mine, small, spark):
+    _, h = K.load(VOCABULARY)
+    back = dict(zip(h.values, h.slots))
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect():
+        assert b"".join(back[i] for i in mine.encode(r.text)).decode() == (r.text or "")
+
+
 def test_slices():
     assert list(K.slices(["aa", None, "bbbb", "", "c"], 4)) == [(0, 2), (2, 4), (4, 5)]
     assert list(K.slices([])) == []
