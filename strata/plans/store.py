@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import random
+import threading
 import time
 import uuid
 from collections.abc import Iterable, Sequence
@@ -26,6 +29,28 @@ BROADCAST_KEYS = 10_000
 BATCHES = 1000
 
 
+#: Times that a change is tried again after another writer committed first.
+TRIES = 20
+
+
+def _exclusive(change):
+    """One change at a time in this process; after another process's commit, again on the newest version."""
+
+    @functools.wraps(change)
+    def run(self, *args, **kwargs):
+        with self._lock:
+            for left in range(TRIES, 0, -1):
+                try:
+                    return change(self, *args, **kwargs)
+                except M.Conflict:
+                    if left == 1:
+                        raise
+                    time.sleep(random.random() * 0.1)
+                    self.refresh()
+
+    return run
+
+
 class Closed(RuntimeError):
     """The store is closed."""
 
@@ -42,6 +67,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options, fs: Fs, state: M.Manifest) -> None:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self._fs, self._m, self._open = fs, state, True
+        self._lock = threading.RLock()
         self.telemetry = Telemetry(spark)
 
     # -- open and close
@@ -84,6 +110,12 @@ class Store:
         if not self._open:
             raise Closed(self.path)
 
+    def refresh(self) -> None:
+        """Take the newest version, with what other processes have committed since."""
+        with self._lock:
+            self._check()
+            self._m = M.load(self._fs)
+
     @property
     def manifest(self) -> M.Manifest:
         return self._m
@@ -116,6 +148,13 @@ class Store:
         return self._append(changes, batch_id, "put")
 
     def _append(self, df: DataFrame, batch_id: str | None, kind: str) -> int:
+        n = self._append_once(df, batch_id, kind)
+        if n and self.options.memtable_threshold > 0 and self._pending_keys(self.options.memtable_threshold):
+            self.flush()
+        return n
+
+    @_exclusive
+    def _append_once(self, df: DataFrame, batch_id: str | None, kind: str) -> int:
         self._check()
         if batch_id is not None and batch_id in self._m.batches:
             return 0
@@ -153,8 +192,6 @@ class Store:
         segment = M.Segment(path, n, m["n"], m["s0"], m["s1"])
         self._commit(segments=(*self._m.segments, segment), next_segment=n + 1, next_seq=m["s1"] + 1, batches=batches)
         self.telemetry.wrote(kind, began, m["n"])
-        if self.options.memtable_threshold > 0 and self._pending_keys(self.options.memtable_threshold):
-            self.flush()
         return m["n"]
 
     def _pending_keys(self, threshold: int) -> bool:
@@ -178,19 +215,34 @@ class Store:
         Run and checkpoint are published in one commit, so there is no moment at which
         a change is in neither or in both, and the checkpoint only covers flushed segments.
         """
+        run = self._flush_once()
+        if run is not None:
+            self.compact()
+        return run
+
+    @_exclusive
+    def _flush_once(self) -> M.Run | None:
         self._check()
         pending = self._m.pending()
-        if not pending:
-            return None
-        return self.add_run(self._log(pending), checkpoint_seq=max(s.max_seq for s in pending))
+        return self._add_run(self._log(pending), max(s.max_seq for s in pending)) if pending else None
 
-    def add_run(self, changes: DataFrame, checkpoint_seq: int | None = None) -> M.Run | None:
+    def add_run(self, changes: DataFrame) -> M.Run | None:
         """Fold a batch of changes straight into a sorted level-0 run: the bulk form of put and flush.
 
         Rows with a null key are left out. An empty batch writes no run. Compaction follows
         when a level is full.
         """
+        run = self._add_run_once(changes)
+        if run is not None:
+            self.compact()
+        return run
+
+    @_exclusive
+    def _add_run_once(self, changes: DataFrame) -> M.Run | None:
         self._check()
+        return self._add_run(changes)
+
+    def _add_run(self, changes: DataFrame, checkpoint_seq: int | None = None) -> M.Run | None:
         began = time.monotonic()
         rows = changes.where(F.col("key").isNotNull()).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
         run = self._write(rows, 0)
@@ -207,7 +259,6 @@ class Store:
             **changes_,
         )
         self.telemetry.flushed(began, run)
-        self.compact()
         return run
 
     def _write(self, rows: DataFrame, level: int) -> M.Run | None:
@@ -222,6 +273,7 @@ class Store:
 
     # -- compaction
 
+    @_exclusive
     def compact(self) -> int:
         """Merge every full level into one run of the next level, lowest first, until none is full (MT1, MT2).
 
@@ -241,6 +293,7 @@ class Store:
             done += 1
         return done
 
+    @_exclusive
     def vacuum(self) -> list[str]:
         """Delete segments at or below the checkpoint, and files that no manifest names (MT8).
 

@@ -128,13 +128,32 @@ def test_closed_store_refuses(spark, folder):
         Store.open(spark, "")
 
 
-def test_second_writer_is_refused(spark, folder):
+def test_a_version_is_taken_once(spark, folder):
     a = Store.open(spark, folder, NEVER)
-    b = Store.open(spark, folder, NEVER)
+    old = a.manifest
     put(a, (b"k", b"a"))
     with pytest.raises(M.Conflict):
-        put(b, (b"k", b"b"))
-    assert state(Store.open(spark, folder, NEVER)) == {b"k": b"a"}
+        M.commit(Fs(spark, folder), old)
+
+
+def test_writers_of_two_processes(spark, folder):
+    a, b = Store.open(spark, folder, NEVER), Store.open(spark, folder, NEVER)
+    put(a, (b"k", b"a"))
+    put(b, (b"k", b"b"), (b"x", b"b"))  # tried again on what a committed
+    a.flush()
+    put(b, (b"y", b"b"))
+    a.refresh()
+    assert state(a) == state(Store.open(spark, folder, NEVER)) == {b"k": b"b", b"x": b"b", b"y": b"b"}
+
+
+def test_concurrent_writers(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store.open(spark, folder, Options(memtable_threshold=60, fanout=2, buckets=2))
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(lambda w: put(s, *[(b"w%d-k%d" % (w, i), b"v%d" % i) for i in range(50)]), range(5)))
+    assert state(s) == {b"w%d-k%d" % (w, i): b"v%d" % i for w in range(5) for i in range(50)}
+    assert s.manifest.runs and len({r.run_seq for r in s.manifest.runs}) == len(s.manifest.runs)
 
 
 def test_batches_apply_once_and_empty_ones_nothing(spark, folder):
