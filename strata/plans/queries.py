@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import decode_record, encode_record
 from ..operators.change_feed import apply_feed, current_state
-from ..operators.fold import fold, is_put, live
+from ..operators.fold import fold, live
 from ..operators.lookup import index_seek, multi_get, sparse_index
 
 Query = Callable[[SparkSession, str], DataFrame]
