@@ -1,7 +1,7 @@
 """Most frequent items among billions (problem 2): combinatorial group testing.
 
 Every row of D hash functions sends an item to one of W buckets. A bucket keeps its total
-and, for each of the 64 bits of the item's fingerprint, how often the bit was set. Where
+and, for each of the 32 bits of the item's fingerprint, how often the bit was set. Where
 one item outweighs the rest of its bucket, each bit's majority spells its fingerprint, so
 it is decoded from the counters alone. Sketches add bucket by bucket.
 
@@ -10,9 +10,11 @@ unless the other items of its bucket weigh as much as it does. With W buckets an
 heavier items elsewhere the expected rest is N / W, so by Markov's inequality a row misses
 with probability at most 1 / (phi * W), which is 0.05 at the default values (2048, 0.01)
 with collisions among the at most 1 / phi heavy items another 1 / (phi * W); all D rows
-miss with at most 0.1 ** 4. The state is D * W * 65 counters for each table, whatever the
+miss with at most 0.1 ** 4. The state is D * W * 33 counters for each table, whatever the
 rows. Only buckets that weigh phi * N can hold such an item, so there are at most D / phi
-candidates; a second scan counts them exactly, which leaves no false ones.
+candidates; a second scan counts the keys that have their fingerprints exactly, which leaves
+no false ones. Keys that share a fingerprint are told apart there, so 32 bits are enough for
+any number of keys: what shares a heavy key's fingerprint is a share of 2**-32 of the rest.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from .names import apart
 PHI = 0.01
 DEPTH = 4
 WIDTH = 2048
-BITS = 64
+BITS = 32
 #: Most candidates that are sent to every executor; DEPTH / PHI is 400.
 MAX_BROADCAST = 10_000
 
 
 def fingerprint(key: Column) -> Column:
-    return F.xxhash64(key)
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def _bucket(h: Column, row: int, width: int) -> Column:
@@ -46,7 +48,7 @@ def _least(phi: float) -> Column:
 
 
 def sketch(df: DataFrame, key: str, group: str, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
-    """group, row, bucket, total, b0..b63: the mergeable sketch of each group.
+    """group, row, bucket, total, b0..b31: the mergeable sketch of each group.
 
     Null keys are left out. The counters are summed in each map task before the shuffle,
     so the shuffle carries at most depth * width rows a task and group, and a hot key
