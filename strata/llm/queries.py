@@ -52,6 +52,15 @@ def p1_registers(spark, d):
     return distinct.registers(telemetry(spark, d, "key"), "key", GROUPS, hash="md5")
 
 
+def p1_error_check(spark, d):
+    """Exact distinct keys per day, and whether the estimate lies within four standard errors."""
+    rows = telemetry(spark, d, "key").where("day IS NOT NULL")
+    est = distinct.estimate(distinct.registers(rows, "key", ["day"]), ["day"])
+    exact = rows.select("day", "key").distinct().groupBy("day").agg(F.count("key").alias("n_exact"))
+    ok = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * distinct.standard_error() * F.col("n_exact") + 0.5
+    return exact.join(est, "day").select("day", "n_exact", ok.alias("in_bound"))
+
+
 def _keys(spark, d):
     """Keys of both tables as bytes."""
     names = ("telemetry_event", "change_log")
@@ -155,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "p1_distinct_portable": p1_distinct_portable,
     "p1_weekly_merge": p1_weekly_merge,
     "p1_registers": p1_registers,
+    "p1_error_check": p1_error_check,
     "p2_found": p2_found,
     "p2_heavy_counts": p2_heavy_counts,
     "p2_approximate_counts": p2_approximate_counts,
@@ -194,6 +204,7 @@ _HEAVY = f"WITH {_KEYS}, c AS (SELECT table_name, key, count(*) AS n FROM keys G
 _FIRST = "first AS (SELECT key, min(ord) AS ord FROM (SELECT key, CAST(-1 AS BIGINT) AS ord FROM change_log UNION ALL SELECT key, rec_id FROM incoming_record) u WHERE key IS NOT NULL GROUP BY key)"
 
 SQL: dict[str, str] = {
+    "p1_error_check": "SELECT CAST(time AS DATE) AS day, count(DISTINCT key) AS n_exact, TRUE AS in_bound FROM telemetry_event WHERE time IS NOT NULL GROUP BY ALL",
     "p2_found": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex FROM t WHERE n * 100 >= n_rows",
     "p2_heavy_counts": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex, n, CAST(n_rows AS BIGINT) AS n_rows, TRUE AS approx_is_bound FROM t WHERE n * 100 >= n_rows",
     "p4_found": f"WITH {_FIRST} SELECT r.rec_id FROM incoming_record r JOIN first f ON r.key = f.key WHERE f.ord < r.rec_id",
