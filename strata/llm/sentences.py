@@ -130,9 +130,9 @@ def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     w = _sub(w, r"[ \u00a0\u202f](?=\ue031)", GAP)
 
     # What is quoted or bracketed ends nothing before its last mark.
-    # The next quotation mark ahead closes; what lies before it is written as ranges, which match at once.
-    unquoted = r"[\u0000-\ud7ff\ue002-\ue02f\ue035-\ue03f\ue046-\x{10ffff}]{0,300}+"
-    unbracketed = r"[\u0000-\ud7ff\ue002-\ue034\ue037-\ue045\ue048-\x{10ffff}]{0,300}+"
+    # The next quotation mark ahead closes; what lies before it is written as ranges, which match at once. A held dot is passed over.
+    unquoted = r"[\u0000-\ud7ff\ue000\ue002-\ue02f\ue035-\ue03f\ue046-\x{10ffff}]{0,300}+"
+    unbracketed = r"[\u0000-\ud7ff\ue000\ue002-\ue034\ue037-\ue045\ue048-\x{10ffff}]{0,300}+"
     last = rf"[{T}{GAP}{ZERO}]{{0,50}}+"
     w = _sub(w, rf"[{T}](?!{last}[{QUOTED}])(?={unquoted}[{QUOTED}])", HOLD)
     w = _sub(w, rf"[{T}](?!{last}[{BRACKETED}])(?={unbracketed}[{BRACKETED}])", HOLD)

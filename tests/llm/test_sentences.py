@@ -52,6 +52,20 @@ def test_scripts(spark):
         assert got[i] == [p.strip() for p in c.split("|")], texts[i]
 
 
+@pytest.mark.parametrize("case", [
+    'He shouted "Stop! Dr. Pell is here!" when I came. |Bye.',
+    "“Wait! J. R. Ovarre has one,” she said. |Bye.",
+    "Er rief „Halt! Am 8. Mai kommt er!“, als ich kam. |Gut.",
+    "The lid (it broke! Mr. Pell saw it) was wet. |Bye.",
+    "The lid (it broke! J. R. Ovarre saw it) was wet. |Bye.",
+    "Der Deckel (er brach! Am 8. Mai war das) ist nass. |Gut.",
+    'The lid (it broke! He said "Stop! Go!" and left) was wet. |Bye.',
+    'I asked Dr. Pell. |It broke. |Mr. Pell said "Stop! Mrs. Pell is here!" and left.',
+])
+def test_held_dots_within_quotes_and_brackets(spark, case):
+    assert [u[2] for u in units(spark, case.replace("|", ""))] == [p.strip() for p in case.split("|")]
+
+
 def test_every_character_lies_in_one_unit(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     seen = {i: [] for i in docs}
