@@ -243,47 +243,83 @@ def _bridges(words: list[str], theirs: list[str], between: bool, own: int) -> bo
     return common > 0 and foreign + skipped - 2 * common <= 2
 
 
-def stretches(index: Index, words: list[str], k: int, hits: list[tuple[int, int, bool]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Best chain that ends in each run: text start and end, passage start and end, longest run, own n-grams."""
+def _chains(index: Index, words: list[str], k: int, runs: list[list]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Best chain that ends in each run: as of stretches, and the place of the run before in runs, or -1."""
     theirs = index.units[k]
-    best: list[tuple[int, int, int, int, int, int]] = []
-    for i, j, size, own in _runs(hits, GRAM_CHARS if index.chars[k] else GRAM_WORDS):
-        chain = (i, i + size, j, j + size, size, own)
-        for start, end, first, after, longest, owns in reversed(best):
+    best: list[tuple[int, int, int, int, int, int, int]] = []
+    for i, j, size, own in runs:
+        chain = (i, i + size, j, j + size, size, own, -1)
+        for at in range(len(best) - 1, -1, -1):
+            start, end, first, after, longest, owns, _ = best[at]
             # Runs come in the order of the text, but may overlap.
             if i - end > INTERRUPTION + len(theirs):
                 break
             over = max(0, end - i, after - j)
             if over >= size or not _bridges(words[end : i + over], theirs[after : j + over], after in index.breaks[k], min(owns, own)):
                 continue
-            new = (start, i + size, first, j + size, max(longest, size), owns + own)
+            new = (start, i + size, first, j + size, max(longest, size), owns + own, at)
             if (new[3] - new[2], new[5]) > (chain[3] - chain[2], chain[5]):
                 chain = new
         best.append(chain)
     return best
 
 
-def _find(index: Index, words: list[str], spots: list[tuple[int, int]], chars: bool) -> list[tuple]:
+def stretches(index: Index, words: list[str], k: int, hits: list[tuple[int, int, bool]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Best chain that ends in each run: text start and end, passage start and end, longest run, own n-grams."""
+    return [c[:6] for c in _chains(index, words, k, _runs(hits, GRAM_CHARS if index.chars[k] else GRAM_WORDS))]
+
+
+def _accepted(index: Index, words: list[str], k: int, hits: list[tuple[int, int, bool]], every: bool) -> list[tuple[int, int, int]]:
+    """(start, end, size) of the largest stretch of an item that counts, or of every one, none within another.
+
+    Stretches are taken from the largest to the smallest; each run is part of one at most. Runs
+    that are left are chained again, until no chain counts.
+    """
+    least = LEAST_CHARS if index.chars[k] else LEAST_WORDS
+    runs = _runs(hits, GRAM_CHARS if index.chars[k] else GRAM_WORDS)
+    taken: list[tuple[int, int, int]] = []
+    while runs:
+        chains = _chains(index, words, k, runs)
+        counts = []
+        for at, (_, _, first, after, longest, own, _) in enumerate(chains):
+            size = after - first
+            if size >= least and (longest >= least or own >= OWN_SHARE * size):
+                counts.append((-size, at))
+        if not counts:
+            break
+        if not every:
+            size, at = min(counts)
+            return [(chains[at][0], chains[at][1], -size)]
+        used: set[int] = set()
+        for size, last in sorted(counts):
+            parts, at = [], last
+            while at >= 0 and at not in used:
+                parts.append(at)
+                at = chains[at][6]
+            if at < 0:
+                used.update(parts)
+                taken.append((chains[last][0], chains[last][1], -size))
+        runs = [r for at, r in enumerate(runs) if at not in used]
+    out: list[tuple[int, int, int]] = []
+    for t in sorted(taken, key=lambda t: (t[0], -t[1])):
+        if not out or t[1] > out[-1][1]:
+            out.append(t)
+    return out
+
+
+def _find(index: Index, words: list[str], spots: list[tuple[int, int]], chars: bool, every: bool) -> list[tuple]:
     if not index.touches(words, chars):
         return []
     words = [index.mend(w) for w in words]
-    least = LEAST_CHARS if chars else LEAST_WORDS
     out = []
     for k, hits in index.hits(words, chars).items():
-        if index.chars[k] != chars:
-            continue
-        found = None
-        for start, end, first, after, longest, own in stretches(index, words, k, hits):
-            size = after - first
-            if size >= least and (longest >= least or own >= OWN_SHARE * size) and (found is None or size > found[3]):
-                found = (index.ids[k], spots[start][0], spots[end - 1][1], size)
-        if found:
-            out.append(found)
+        if index.chars[k] == chars:
+            out += [(index.ids[k], spots[start][0], spots[end - 1][1], size) for start, end, size in _accepted(index, words, k, hits, every)]
     return out
 
 
-def find(index: Index, text: str | None) -> list[tuple]:
-    """(item, start, end, size) of the leaked stretches of a text, the largest of each item."""
+def find(index: Index, text: str | None, every: bool = True) -> list[tuple]:
+    """(item, start, end, size) of the leaked stretches of a text, or with every=False of the largest of each item."""
     if not text:
         return []
     quick = plain_units(text)
@@ -291,9 +327,9 @@ def find(index: Index, text: str | None) -> list[tuple]:
         if not index.has_chars or not any(map(_is_cjk, quick)) or not index.touches(digits(quick, [(0, 0)] * len(quick))[0], True):
             return []
     words, spots = units(text)
-    out = _find(index, words, spots, False)
+    out = _find(index, words, spots, False, every)
     if index.has_chars and any(map(_is_cjk, words)):
-        out += _find(index, *digits(words, spots), True)
+        out += _find(index, *digits(words, spots), True, every)
     return out
 
 
@@ -316,12 +352,13 @@ def blocks(items: DataFrame, id: str, text: str, most: int = BLOCK_CHARS) -> Ite
 
 def leaks(
     df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    block_chars: int = BLOCK_CHARS,
+    block_chars: int = BLOCK_CHARS, every: bool = True,
 ) -> DataFrame:
-    """id, item_id, start_pos, end_pos, size: one row for each text and item whose passage it holds, fully or partly.
+    """id, item_id, start_pos, end_pos, size: one row for each stretch of an item's passage that a text holds.
 
-    The place is that of the largest stretch, in code points, its end exclusive; size counts
-    the words, or characters, of the passage that it spans. Items beyond block_chars are
+    With every=False one row for each text and item, that of the largest stretch. The place is
+    in code points, its end exclusive; size counts the words, or characters, of the passage
+    that the stretch spans. Stretches may overlap, none lies within another of its item. Items beyond block_chars are
     taken in several passes over the texts, so that what is sent to the executors stays
     bounded; a pass has no shuffle. Whether an n-gram is a passage's own is told within a
     block. Null and empty texts and items give no rows, items of fewer than three lines have
@@ -339,7 +376,7 @@ def leaks(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                found = [(i, *f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in find(index, t)]
+                found = [(i, *f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in find(index, t, every)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], field.type) for c, field in enumerate(arrow)], schema=arrow)
 
         return rows.mapInArrow(run, schema)

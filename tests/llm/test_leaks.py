@@ -91,3 +91,22 @@ def test_removal(spark):
     hits = L.leaks(df, items)
     assert {r.doc_id: r.text for r in L.without_leaks(df, hits).collect()} == {1: "Good.  Bye.", 2: "clean", 3: None}
     assert {r.doc_id for r in L.without_leaks(df, hits, spans=False).collect()} == {2, 3}
+
+
+def test_every_stretch_is_removed(spark):
+    far = " ".join(f"far{i}" for i in range(150))
+    part = " ".join(WORDS[3:18])
+    texts = [f"Good. {TEXT} {far} {TEXT} Bye.", f"{part} {far} {TEXT} {far} {part}", f"{TEXT} near {TEXT}", " ".join([TEXT] * 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in L.without_leaks(df, L.leaks(df, items)).collect()}
+    assert got[0] == f"Good.  {far}  Bye." and got[1] == f" {far}  {far} " and got[2] == " near " and got[3].strip() == ""
+    pairs = L.leaks(df, items, every=False).collect()
+    assert sorted((r.doc_id, r.item_id, r.size) for r in pairs) == [(i, 7, len(WORDS)) for i in range(4)]
+
+
+def test_stretches_that_share_words(index):
+    item = L.Index([(1, "Read.\nin the old town of Karst a miller sold nine grey geese and left in the old town\nWho?")])
+    text = "in the old town of Karst a miller sold nine grey geese and left in the old town of Karst a miller sold nine grey geese"
+    found = sorted(f[1:3] for f in L.find(item, text))
+    assert found[0][0] == 0 and max(f[1] for f in found) == len(text)
