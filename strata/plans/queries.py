@@ -82,6 +82,11 @@ def compact_merge(spark, d):
     return fold(run_rows(spark, d).where("run_id < 40").drop("run_id"), order=("seq",))
 
 
+def compact_merge_all(spark, d):
+    """AG3, MT2: all runs merged."""
+    return fold(run_rows(spark, d).drop("run_id"), order=("seq",))
+
+
 def compact_merge_ties(spark, d):
     """AG3 tie rule, Q4: coarse times, among equal times the first run wins."""
     r = run_rows(spark, d).withColumn("ts", F.floor(F.col("seq") / 5000).cast("int"))
@@ -111,6 +116,13 @@ def index_seek_query(spark, d):
     return index_seek(clog(spark, d).select("key").distinct(), idx.select("key", "pos"))
 
 
+def index_seek_all(spark, d):
+    """LK5, SO7: every key of the change log looked up in the sparse index of all stored runs, merged."""
+    merged = fold(table(spark, d, "run_row").where("key IS NOT NULL")).select("key", F.lit(0).alias("run_id"))
+    found = index_seek(table(spark, d, "change_log"), sparse_index(merged, 10).select("key", "pos"))
+    return found.select(F.hex("key").alias("key_hex"), "start_pos")
+
+
 def snapshot_size(spark, d):
     """AG5, SC9, AG8: manifest columns of each run."""
     return run_rows(spark, d).groupBy("run_id").agg(
@@ -201,11 +213,13 @@ QUERIES: dict[str, Query] = {
     "multi_get": multi_get_query,
     "flush_runs": flush_runs,
     "compact_merge": compact_merge,
+    "compact_merge_all": compact_merge_all,
     "compact_merge_ties": compact_merge_ties,
     "levels_overfull": levels_overfull,
     "layered_get": layered_get,
     "sparse_index": sparse_index_query,
     "index_seek": index_seek_query,
+    "index_seek_all": index_seek_all,
     "snapshot_size": snapshot_size,
     "replay_suffix": replay_suffix,
     "space_amp": space_amp,
@@ -240,11 +254,13 @@ SQL: dict[str, str] = {
     "multi_get": f"WITH {CL} SELECT CAST(c_custkey AS VARCHAR(20)) AS key, l.value, l.key IS NOT NULL AS found FROM customer LEFT JOIN (SELECT key,value FROM {LATEST} AND NOT is_deleted) l ON l.key=CAST(c_custkey AS VARCHAR(20))",
     "flush_runs": f"WITH {RUNS} SELECT * FROM run_rows",
     "compact_merge": f"WITH {RUNS} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM run_rows WHERE run_id<40) t WHERE rn=1",
+    "compact_merge_all": f"WITH {RUNS} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM run_rows) t WHERE rn=1",
     "compact_merge_ties": f"WITH {RUNS} SELECT key,run_id,seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(floor(seq/5000) AS INT) DESC, run_id ASC) rn FROM run_rows) t WHERE rn=1",
     "levels_overfull": f"WITH {RUNS} SELECT lvl, n FROM (SELECT CAST(run_id % 3 AS INT) lvl, count(DISTINCT run_id) n FROM run_rows GROUP BY CAST(run_id % 3 AS INT)) t WHERE n>=34",
     "layered_get": f"WITH {RUNS} SELECT key,value,run_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN run_id>=80 THEN 0 ELSE 1 END, run_id DESC) rn FROM run_rows) t WHERE rn=1 AND NOT is_deleted",
     "sparse_index": f"WITH {RUNS} SELECT run_id,key,pos FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY key)-1 AS pos FROM run_rows) t WHERE pos % 10 = 0",
     "index_seek": f"WITH {RUNS}, idx AS (SELECT key,pos FROM (SELECT *, row_number() OVER (ORDER BY key)-1 AS pos FROM run_rows WHERE run_id=0) t WHERE pos % 10 = 0) SELECT k.key, max(i.pos) AS start_pos FROM (SELECT DISTINCT key FROM clog) k LEFT JOIN idx i ON i.key<=k.key GROUP BY k.key",
+    "index_seek_all": f"WITH idx AS (SELECT key,pos FROM (SELECT key, row_number() OVER (ORDER BY key)-1 AS pos FROM {VALID.format('run_row')}) t WHERE pos % 10 = 0) SELECT upper(hex(k.key)) AS key_hex, i.pos AS start_pos FROM (SELECT DISTINCT key FROM change_log) k ASOF LEFT JOIN idx i ON i.key<=k.key",
     "snapshot_size": f"WITH {RUNS} SELECT run_id, count(*) n_records, sum(CASE WHEN is_deleted THEN 1 ELSE 0 END) n_tomb, min(key) min_key, max(key) max_key FROM run_rows GROUP BY run_id",
     "replay_suffix": f"WITH {CL} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM clog WHERE seq>6000) t WHERE rn=1",
     "space_amp": f"WITH {RUNS} SELECT count(*) AS n_rows, count(DISTINCT key) n_keys, count(*)-count(DISTINCT key) n_dead FROM run_rows",
