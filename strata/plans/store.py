@@ -25,7 +25,7 @@ from ..telemetry import Telemetry
 BROADCAST_KEYS = 10_000
 
 
-#: Names of applied batches that the manifest remembers.
+#: Names of applied batches that the manifest remembers, besides the last one of each stream.
 BATCHES = 1000
 
 
@@ -33,6 +33,13 @@ BATCHES = 1000
 TRIES = 20
 
 
+def _remembered(batches: dict) -> dict:
+    """The newest names, and the last one of each stream, however long it rests; a stream's names are its own, a dash and a number."""
+    last = {name: b for b in batches for name, _, number in [b.rpartition("-")] if name and number.isdecimal()}
+    keep = {*list(batches)[-BATCHES:], *last.values()}
+    return {b: n for b, n in batches.items() if b in keep}
+
+
 def _exclusive(change):
     """One change at a time in this process; after another process's commit, again on the newest version."""
 
@@ -181,7 +188,7 @@ class Store:
         m = seen.get
         batches = self._m.batches
         if batch_id is not None:  # a stream only ever repeats its last batch
-            batches = dict([*batches.items(), (batch_id, n)][-BATCHES:])
+            batches = _remembered(batches | {batch_id: n})
         if not m["n"]:
             self._fs.delete(path[len(self.path) + 1 :])
             if batch_id is not None:

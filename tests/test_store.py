@@ -164,6 +164,17 @@ def test_batches_apply_once_and_empty_ones_nothing(spark, folder):
     assert state(s) == {b"k": b"1"}
 
 
+def test_the_last_batch_of_a_resting_stream_is_remembered(spark, folder, monkeypatch):
+    monkeypatch.setattr("strata.plans.store.BATCHES", 2)
+    s = Store.open(spark, folder, NEVER)
+    assert put(s, (b"k", b"old"), batch_id="rests-7") == 1
+    for i in range(4):
+        assert put(s, (b"k", b"new"), batch_id=f"works-{i}") == 1
+    s = Store.open(spark, folder)
+    assert put(s, (b"k", b"old"), batch_id="rests-7") == 0
+    assert state(s) == {b"k": b"new"} and set(s.manifest.batches) == {"rests-7", "works-2", "works-3"}
+
+
 def test_damage_raises(spark, folder, tmp_path):
     s = Store.open(spark, folder, NEVER)
     s.put(spark.range(2000).selectExpr("cast(cast(id as string) as binary) as key", "cast(cast(id * 7 as string) as binary) as value"))
