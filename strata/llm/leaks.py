@@ -34,6 +34,8 @@ SKIPPED, FOREIGN = 2, 3
 #: Foreign places where the passage goes on without a break, at most; an interruption falls
 #: between two sentences of the passage, or both sides have so many n-grams of their own.
 INTERRUPTION, OWN_SIDES = 120, 4
+#: Places of the passage that are replaced by as many others, at most, where both sides have so many n-grams of their own.
+REPLACED = 2
 #: Share of n-grams of no other passage that a stretch with edits must have, for passages
 #: share phrases, and texts may be built from such phrases without repeating a passage.
 OWN_SHARE = 0.2
@@ -235,7 +237,10 @@ def _bridges(words: list[str], theirs: list[str], between: bool, own: int) -> bo
         return skipped <= SKIPPED
     if foreign == skipped == 1:  # one word that is the other with two letters changed
         a, b = words[0], theirs[0]
-        return min(len(a), len(b)) >= 5 and len(_deletes(a) & _deletes(b)) > 0
+        if min(len(a), len(b)) >= 5 and _deletes(a) & _deletes(b):
+            return True
+    if foreign == skipped <= REPLACED and own >= OWN_SIDES:
+        return True
     if foreign > 4 or skipped > 4:
         return False
     # Two small edits with a few words between them.

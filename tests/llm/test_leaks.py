@@ -110,3 +110,12 @@ def test_stretches_that_share_words(index):
     text = "in the old town of Karst a miller sold nine grey geese and left in the old town of Karst a miller sold nine grey geese"
     found = sorted(f[1:3] for f in L.find(item, text))
     assert found[0][0] == 0 and max(f[1] for f in found) == len(text)
+
+
+@pytest.mark.parametrize("words", [
+    WORDS[:11] + ["basement"] + WORDS[12:23],
+    WORDS[:11] + ["deep", "basement"] + WORDS[13:24],
+    WORDS[5:14] + ["tow"] + WORDS[15:24],  # two
+])
+def test_replaced_words_are_bridged(index, words):
+    assert found(index, " ".join(words)) == {1}
