@@ -18,7 +18,7 @@ def ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = work_dir(spark, "ranges")
+    path = f"{work_dir(spark, 'ranges')}/rows"
     df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).write.parquet(path)
     return spark.read.parquet(path)
 

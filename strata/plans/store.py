@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import random
 import threading
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,43 +22,13 @@ from ..sources.runs import PARTITION, ddl, read_runs, verify_pages, write_run
 from ..sources.shared import Fs
 from ..telemetry import Telemetry
 
-#: Keys that multi_get sends to every executor instead of shuffling, at most.
-BROADCAST_KEYS = 10_000
+#: Keys that multi_get writes into the plan, at most: they choose buckets and row groups. More are joined.
+FEW_KEYS = 1000
 
-
-#: Names of applied batches that the manifest remembers, besides the last one of each stream.
-BATCHES = 1000
-
-
-#: Times that a change is tried again after another writer committed first.
+#: Times that a commit is tried again after another writer committed first.
 TRIES = 20
 
 
-def _remembered(batches: dict) -> dict:
-    """The newest names, and the last one of each stream, however long it rests; a stream's names are its own, a dash and a number."""
-    last = {name: b for b in batches for name, _, number in [b.rpartition("-")] if name and number.isdecimal()}
-    keep = {*list(batches)[-BATCHES:], *last.values()}
-    return {b: n for b, n in batches.items() if b in keep}
-
-
-def _exclusive(change):
-    """One change at a time in this process; after another process's commit, again on the newest version."""
-
-    @functools.wraps(change)
-    def run(self, *args, **kwargs):
-        with self._lock:
-            for left in range(TRIES, 0, -1):
-                try:
-                    return change(self, *args, **kwargs)
-                except M.Conflict:
-                    if left == 1:
-                        raise
-                    time.sleep(random.random() * 0.1)
-                    self.refresh()
-
-    return run
-
-
 class Closed(RuntimeError):
     """The store is closed."""
 
@@ -65,16 +36,25 @@ class Closed(RuntimeError):
 class Store:
     """A log-structured merge store of key changes.
 
-    Layout below its path: log/seg-N (committed batches as they came), runs/strata_run=N-X
+    Layout below its path: log/seg-N-X (committed batches as they came), runs/strata_run=N-X
     (folded, bucketed and sorted), _manifest/vN.json. The valid change of a key is
     the one with the greatest (ts, seq) over all layers; tombstones are kept in
-    the runs and filtered after the fold. Flush and compaction run inside the call.
+    the runs and filtered after the fold. Null keys are never stored. Flush and compaction
+    run inside the call, or with Options.background on a thread of the store.
+
+    A commit that another writer was faster with is put on top of that one's version;
+    what was written stays written. Only a batch whose numbers were taken meanwhile, and a
+    merge whose runs another process has merged, are given up, the first to be written again.
     """
 
     def __init__(self, spark: SparkSession, path: str, options: Options, fs: Fs, state: M.Manifest) -> None:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self._fs, self._m, self._open = fs, state, True
-        self._lock = threading.RLock()
+        # Appends take turns, and so do flushes and merges; each holds the last lock only to commit.
+        self._appending, self._working, self._committing = threading.RLock(), threading.RLock(), threading.RLock()
+        self._pool: ThreadPoolExecutor | None = None
+        self._tasks: list[Future] = []
+        self._next_count = 0
         self.telemetry = Telemetry(spark)
 
     # -- open and close
@@ -106,12 +86,23 @@ class Store:
         return store
 
     def close(self) -> None:
-        """Refuse further calls; unflushed changes stay in the log (MT11). Idempotent."""
-        self._open = False
+        """Wait for background work and refuse further calls; unflushed changes stay in the log (MT11). Idempotent."""
+        try:
+            self._wait()
+        finally:
+            self._open = False
+            if self._pool is not None:
+                self._pool.shutdown()
+                self._pool = None
 
     def barrier(self) -> None:
-        """Nothing to wait for: flush and compaction end within the calls that start them (MT12)."""
+        """Wait until all background flushes and merges have ended, and raise what one of them raised (MT12)."""
         self._check()
+        self._wait()
+
+    def _wait(self) -> None:
+        while self._tasks:
+            self._tasks.pop(0).result()
 
     def _check(self) -> None:
         if not self._open:
@@ -119,16 +110,33 @@ class Store:
 
     def refresh(self) -> None:
         """Take the newest version, with what other processes have committed since."""
-        with self._lock:
-            self._check()
+        self._check()
+        with self._committing:
             self._m = M.load(self._fs)
 
     @property
     def manifest(self) -> M.Manifest:
         return self._m
 
-    def _commit(self, **changes) -> None:
-        self._m = M.commit(self._fs, self._m, **changes)
+    def _commit(self, change: Callable[[M.Manifest], dict | None]) -> bool:
+        """Publish what change makes of the newest version; False if it makes nothing of it."""
+        with self._committing:
+            for left in range(TRIES, 0, -1):
+                fields = change(self._m)
+                if fields is None:
+                    return False
+                try:
+                    self._m = M.commit(self._fs, self._m, **fields)
+                    return True
+                except M.Conflict:
+                    if left == 1:
+                        raise
+                    time.sleep(random.random() * 0.1)
+                    self._m = M.load(self._fs)
+        return False
+
+    def _drop(self, path: str) -> None:
+        self._fs.delete(path[len(self.path) + 1 :])
 
     @property
     def schema(self) -> T.StructType:
@@ -136,40 +144,51 @@ class Store:
 
     # -- writing
 
-    def put(self, df: DataFrame, batch_id: str | None = None) -> int:
+    def put(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Append rows of key, value and optionally ts, seq (SK1). Returns the rows appended.
 
         Without ts the time of the call is taken, in nanoseconds. Without seq rows are
         numbered after all earlier ones; numbers are stored with the rows, unique and
         growing from batch to batch, with gaps. A given seq must be unique and above
-        those before it. Extra columns are ignored. An empty batch changes nothing.
+        those before it. Extra columns are ignored and rows with a null key left out. An empty
+        batch changes nothing. batch names a stream and the number of this batch of it,
+        which grow; a number that is not above the stream's last is a repeat and appends nothing.
         """
-        return self._append(df.withColumn("is_deleted", F.lit(False)), batch_id, "put")
+        return self._append(df.withColumn("is_deleted", F.lit(False)), batch, "put")
 
-    def delete(self, keys: DataFrame, batch_id: str | None = None) -> int:
+    def delete(self, keys: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Append a tombstone for each row of key (SK2); whether the key exists is not asked."""
-        return self._append(keys.withColumn("is_deleted", F.lit(True)), batch_id, "delete")
+        return self._append(keys.withColumn("is_deleted", F.lit(True)), batch, "delete")
 
-    def apply(self, changes: DataFrame, batch_id: str | None = None) -> int:
+    def apply(self, changes: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Append puts and tombstones as their is_deleted says."""
-        return self._append(changes, batch_id, "put")
+        return self._append(changes, batch, "put")
 
-    def _append(self, df: DataFrame, batch_id: str | None, kind: str) -> int:
-        n = self._append_once(df, batch_id, kind)
-        if n and self.options.memtable_threshold > 0 and self._pending_keys(self.options.memtable_threshold):
-            self.flush()
+    def _append(self, df: DataFrame, batch: tuple[str, int] | None, kind: str) -> int:
+        with self._appending:
+            self._check()
+            n = None
+            for _ in range(TRIES):
+                if (n := self._append_once(df, batch, kind)) is not None:
+                    break
+            else:
+                raise M.Conflict("other writers took the numbers of this batch each time")
+            full = n and self._is_full()
+        if full:
+            self._maintain()
         return n
 
-    @_exclusive
-    def _append_once(self, df: DataFrame, batch_id: str | None, kind: str) -> int:
-        self._check()
-        if batch_id is not None and batch_id in self._m.batches:
+    def _append_once(self, df: DataFrame, batch: tuple[str, int] | None, kind: str) -> int | None:
+        """Rows appended, None if another process took the numbers of the rows meanwhile."""
+        repeat = lambda m: batch is not None and m.batches.get(batch[0], -1) >= batch[1]
+        if repeat(self._m):
             return 0
         began = time.monotonic()
         base = self._m.next_seq
         if "ts" not in df.columns:
             df = df.withColumn("ts", F.lit(time.time_ns()))
-        if "seq" not in df.columns:
+        numbered = "seq" not in df.columns
+        if numbered:
             df = df.withColumn("seq", F.lit(base) + F.monotonically_increasing_id())
         cols = []
         for f in self.schema.fields:
@@ -178,35 +197,65 @@ class Store:
             if f.name == "value":  # a tombstone carries no value
                 col = F.when(is_put(), col)
             cols.append(col.cast(f.dataType).alias(f.name))
-        n = self._m.next_segment
-        path = f"{self.path}/log/seg-{n:012d}-{uuid.uuid4().hex}"
+        path = f"{self.path}/log/seg-{self._m.next_segment:012d}-{uuid.uuid4().hex}"
         seen = Observation()
-        out = df.select(*cols).observe(
-            seen, F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.count("ts").alias("nt")
+        out = df.where(F.col("key").isNotNull()).select(*cols).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1")
         )
         out.write.mode("overwrite").parquet(path)
         m = seen.get
-        batches = self._m.batches
-        if batch_id is not None:  # a stream only ever repeats its last batch
-            batches = _remembered(batches | {batch_id: n})
-        if not m["n"]:
-            self._fs.delete(path[len(self.path) + 1 :])
-            if batch_id is not None:
-                self._commit(batches=batches)
-            return 0
-        if m["s0"] is None or m["s0"] < base:
+        if m["n"] and (m["s0"] is None or m["s0"] < base):
+            self._drop(path)
             raise ValueError(f"seq must be at least {base}, the batch begins at {m['s0']}")
-        segment = M.Segment(path, n, m["n"], m["s0"], m["s1"])
-        self._commit(segments=(*self._m.segments, segment), next_segment=n + 1, next_seq=m["s1"] + 1, batches=batches)
+        taken = False
+
+        def change(new: M.Manifest) -> dict | None:
+            nonlocal taken
+            taken = bool(m["n"]) and m["s0"] < new.next_seq and not repeat(new)
+            if taken or repeat(new):
+                return None
+            fields: dict = {"batches": new.batches | {batch[0]: batch[1]}} if batch is not None else {}
+            if m["n"]:
+                segment = M.Segment(path, new.next_segment, m["n"], m["s0"], m["s1"])
+                fields |= {"segments": (*new.segments, segment), "next_segment": new.next_segment + 1, "next_seq": m["s1"] + 1}
+            return fields or None
+
+        done = self._commit(change)
+        if not done or not m["n"]:
+            self._drop(path)
+            if taken and not numbered:
+                raise ValueError(f"seq must be at least {self._m.next_seq}, the batch begins at {m['s0']}")
+            return None if taken else 0
         self.telemetry.wrote(kind, began, m["n"])
         return m["n"]
 
-    def _pending_keys(self, threshold: int) -> bool:
-        """Whether the unflushed log has at least threshold distinct keys; no job while it has fewer rows."""
+    def _is_full(self) -> bool:
+        """Whether the unflushed log has enough distinct keys, or rows, to be flushed (SK7).
+
+        A row adds one key at most, so after a count nothing is counted before the missing keys could have come.
+        """
         pending = self._m.pending()
-        if sum(s.n_records for s in pending) < threshold:
+        rows = sum(s.n_records for s in pending)
+        if 0 < self.options.memtable_rows <= rows:
+            return True
+        threshold = self.options.memtable_threshold
+        if threshold <= 0 or rows < max(threshold, self._next_count):
             return False
-        return self._log(pending).select("key").distinct().limit(threshold).count() >= threshold
+        keys = self._log(pending).select("key").distinct().limit(threshold).count()
+        self._next_count = rows + threshold - keys
+        return keys >= threshold
+
+    def _maintain(self) -> None:
+        """Flush, here or on the store's thread."""
+        if not self.options.background:
+            self.flush()
+            return
+        self._tasks.append(self._start(self.flush))
+
+    def _start(self, work: Callable[[], object]) -> Future:
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1, thread_name_prefix="strata")
+        return self._pool.submit(work)
 
     def _log(self, segments: Sequence[M.Segment]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[s.path for s in segments])
@@ -221,105 +270,117 @@ class Store:
 
         Run and checkpoint are published in one commit, so there is no moment at which
         a change is in neither or in both, and the checkpoint only covers flushed segments.
+        Batches that are appended meanwhile stay in the log.
         """
-        run = self._flush_once()
-        if run is not None:
-            self.compact()
+        with self._working:
+            self._check()
+            pending = self._m.pending()
+            run = self._add_run(self._log(pending), max(s.max_seq for s in pending)) if pending else None
+            self._next_count = 0
+            if run is not None:
+                self.compact()
         return run
 
-    @_exclusive
-    def _flush_once(self) -> M.Run | None:
-        self._check()
-        pending = self._m.pending()
-        return self._add_run(self._log(pending), max(s.max_seq for s in pending)) if pending else None
-
     def add_run(self, changes: DataFrame) -> M.Run | None:
         """Fold a batch of changes straight into a sorted level-0 run: the bulk form of put and flush.
 
         Rows with a null key are left out. An empty batch writes no run. Compaction follows
         when a level is full.
         """
-        run = self._add_run_once(changes)
-        if run is not None:
-            self.compact()
+        with self._working:
+            self._check()
+            run = self._add_run(changes)
+            if run is not None:
+                self.compact()
         return run
 
-    @_exclusive
-    def _add_run_once(self, changes: DataFrame) -> M.Run | None:
-        self._check()
-        return self._add_run(changes)
-
-    def _add_run(self, changes: DataFrame, checkpoint_seq: int | None = None) -> M.Run | None:
+    def _add_run(self, changes: DataFrame, checkpoint_seq: int = 0) -> M.Run | None:
         began = time.monotonic()
         rows = changes.where(F.col("key").isNotNull()).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
         run = self._write(rows, 0)
-        changes_ = {"checkpoint_seq": checkpoint_seq} if checkpoint_seq is not None else {}
-        if run is None:
-            if changes_:
-                self._commit(**changes_)
+        named = None
+
+        def change(new: M.Manifest) -> dict | None:
+            nonlocal named
+            if checkpoint_seq and new.checkpoint_seq >= checkpoint_seq:  # another process flushed these segments
+                return None
+            fields = {"checkpoint_seq": checkpoint_seq} if checkpoint_seq else {}
+            if run is None:
+                return fields or None
+            named = replace(run, run_seq=new.next_run)
+            # A null seq is smallest; such rows come in by add_run alone.
+            following = max(new.next_seq, (run.max_seq if run.max_seq is not None else 0) + 1)
+            return fields | {"runs": (*new.runs, named), "next_run": new.next_run + 1, "next_seq": following, "flushes": new.flushes + 1}
+
+        if not self._commit(change):
+            if run is not None:
+                self._drop(run.path)
             return None
-        self._commit(
-            runs=(*self._m.runs, run),
-            next_run=run.run_seq + 1,
-            next_seq=max(self._m.next_seq, run.max_seq + 1),
-            flushes=self._m.flushes + 1,
-            **changes_,
-        )
-        self.telemetry.flushed(began, run)
-        return run
+        if named is not None:
+            self.telemetry.flushed(began, named)
+        return named
 
     def _write(self, rows: DataFrame, level: int) -> M.Run | None:
-        n = self._m.next_run
-        path = f"{self.path}/runs/{PARTITION}={n}-{uuid.uuid4().hex}"  # no writer touches another's files
-        before = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", self._m.buckets)
-        try:
-            return write_run(fold(rows), path, level, n, self._m.buckets, self.options.bloom)
-        finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", before)
+        path = f"{self.path}/runs/{PARTITION}={self._m.next_run}-{uuid.uuid4().hex}"  # no writer touches another's files
+        run = write_run(fold(rows), path, level, self._m.next_run, self._m.buckets, self.options.bloom)
+        if run is None:
+            self._drop(path)
+        return run
 
     # -- compaction
 
-    @_exclusive
     def compact(self) -> int:
         """Merge every full level into one run of the next level, lowest first, until none is full (MT1, MT2).
 
         Tombstones are kept, as older runs may still hold their keys. The merge reads
         the runs bucket by bucket and shuffles nothing. Returns the merges done.
         """
-        self._check()
         done = 0
-        while (level := self._m.overfull(self.options.fanout)) is not None:
-            began = time.monotonic()
-            inputs = self._m.levels()[level]
-            run = self._write(self._scan(inputs).drop(PARTITION), level + 1)
-            gone = {r.run_seq for r in inputs}
-            kept = tuple(r for r in self._m.runs if r.run_seq not in gone)
-            self._commit(runs=(*kept, run), next_run=run.run_seq + 1, compactions=self._m.compactions + 1)
-            self.telemetry.compacted(began, level, inputs, run)
-            done += 1
+        with self._working:
+            self._check()
+            while (level := self._m.overfull(self.options.fanout)) is not None:
+                began = time.monotonic()
+                inputs = self._m.levels()[level]
+                run = self._write(self._scan(inputs).drop(PARTITION), level + 1)
+                gone = {r.path for r in inputs}
+
+                def change(new: M.Manifest) -> dict | None:
+                    if not gone <= {r.path for r in new.runs}:  # another process has merged some of them
+                        return None
+                    kept = tuple(r for r in new.runs if r.path not in gone)
+                    return {"runs": (*kept, replace(run, run_seq=new.next_run)), "next_run": new.next_run + 1, "compactions": new.compactions + 1}
+
+                if self._commit(change):
+                    self.telemetry.compacted(began, level, inputs, self._m.runs[-1])
+                    done += 1
+                else:
+                    self._drop(run.path)
         return done
 
-    @_exclusive
     def vacuum(self) -> list[str]:
         """Delete segments at or below the checkpoint, and files that no manifest names (MT8).
 
-        Only for times without readers or writers of older versions. Returns what was deleted.
+        Waits for background work. Only for times without readers or writers of older versions
+        in other processes. Returns what was deleted.
         """
-        self._check()
-        pending = tuple(self._m.pending())
-        if len(pending) != len(self._m.segments):
-            self._commit(segments=pending)
-        keep = {s.path.rsplit("/", 1)[1] for s in self._m.segments} | {r.path.rsplit("/", 1)[1] for r in self._m.runs}
-        gone = [f"{d}/{n}" for d in ("log", "runs") for n in self._fs.names(d) if n not in keep]
-        for name in gone:
-            self._fs.delete(name)
-        newest = M.versions(self._fs)[-1]
-        for n in self._fs.names(M.DIR):
-            if n != f"v{newest:08d}.json":
-                self._fs.delete(f"{M.DIR}/{n}")
+        self.barrier()
+        with self._appending, self._working:
+            self._commit(lambda new: {"segments": tuple(new.pending())} if len(new.pending()) != len(new.segments) else None)
+            keep = {x.path.rsplit("/", 1)[1] for x in (*self._m.segments, *self._m.runs)}
+            gone = [f"{d}/{n}" for d in ("log", "runs") for n in self._fs.names(d) if n not in keep]
+            for name in gone:
+                self._fs.delete(name)
+            newest = M.versions(self._fs)[-1]
+            for n in self._fs.names(M.DIR):
+                if n != f"v{newest:08d}.json":
+                    self._fs.delete(f"{M.DIR}/{n}")
         return gone
 
+    def remove(self) -> None:
+        """Close the store and delete all its files."""
+        self.close()
+        self._fs.delete()
+
     # -- reading
 
     def _scan(self, runs: Iterable[M.Run]) -> DataFrame:
@@ -358,15 +419,19 @@ class Store:
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """key, value, found for every row of keys (LK7), repeated keys as often as given; a null key is not found.
 
-        Up to BROADCAST_KEYS keys, counted first, are sent to every executor and reduce the runs
-        before the fold; more are joined by a shuffle.
+        Up to FEW_KEYS keys are read once and written into the plan, where they choose the runs, buckets and row
+        groups that are read. More are joined: runs keep their buckets, the keys are shuffled to them.
         """
         self._check()
         wanted = keys.select(F.col("key").cast("binary").alias("key"))
-        rows = self._rows()
-        few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        distinct = wanted.where(F.col("key").isNotNull()).distinct()
-        rows = rows.join(F.broadcast(distinct) if few else distinct, "key", "left_semi")
+        few = [r.key for r in wanted.limit(FEW_KEYS + 1).collect()]
+        if len(few) <= FEW_KEYS:
+            wanted = self.spark.createDataFrame([(k,) for k in few], "key binary")
+            codes = sorted(bytes(k).hex().upper() for k in few if k is not None)
+            rows = self._rows(codes[0], codes[-1]) if codes else self._rows().where(F.lit(False))
+            rows = rows.where(F.col("key").isin([F.unhex(F.lit(c)) for c in dict.fromkeys(codes)])) if codes else rows
+        else:
+            rows = self._rows().join(wanted.where(F.col("key").isNotNull()).distinct(), "key", "left_semi")
         state = fold(rows).where(is_put()).select("key", "value", F.lit(True).alias("found"))
         return wanted.join(state, "key", "left").select("key", "value", F.coalesce("found", F.lit(False)).alias("found"))
 
@@ -406,11 +471,17 @@ class Store:
 
     # -- telemetry
 
-    def snapshot(self) -> DataFrame:
-        """One row of counters (TL3, TL4, Q15): real key counts besides those of the unflushed log."""
+    def snapshot(self, exact: bool = False) -> DataFrame:
+        """One row of counters (TL3, TL4): rows and tombstones of the runs, unflushed rows, runs and times, from the manifest alone.
+
+        With exact=True also the keys, live keys and unflushed keys, which take a fold; else they are null.
+        """
         self._check()
-        n = self.latest().agg(F.count(F.lit(1)).alias("total"), F.count(F.when(is_put(), 1)).alias("live")).first()
-        return self.telemetry.snapshot(n.total, n.live, self.recover().count(), self._m)
+        counts = (None, None, None)
+        if exact:
+            n = self.latest().agg(F.count(F.lit(1)).alias("total"), F.count(F.when(is_put(), 1)).alias("live")).first()
+            counts = (n.total, n.live, self.recover().count())
+        return self.telemetry.snapshot(*counts, self._m)
 
     def events(self) -> DataFrame:
         """The buffered events (TL1)."""

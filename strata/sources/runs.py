@@ -7,7 +7,6 @@ point lookup reads one bucket of each run.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .manifest import Run
+from .shared import own_session, within
 
 
 #: Name of the column that tells the runs of a scan apart; stores have no such column of their own.
@@ -33,17 +33,26 @@ def ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
+def _source(spark: SparkSession, paths: Sequence[str], schema, partitions: Sequence[str], buckets: int, options: dict[str, str]):
+    """Spark's file source with buckets. Its reader and writer have no way to state them without a catalog table."""
+    jvm, utils = spark._jvm, spark._jvm.PythonUtils
+    names, some = utils.toSeq(["key"]), jvm.scala.Option.apply
+    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, names, names)
+    return jvm.org.apache.spark.sql.execution.datasources.DataSource(
+        spark._jsparkSession, "parquet", utils.toSeq(list(paths)), some(schema), utils.toSeq(list(partitions)), some(spec), utils.toScalaMap(options), some(None)
+    )
+
+
 def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int, bloom: bool = True) -> Run | None:
     """Write one row per key as a run (SK5) and return its manifest entry, None if it has no rows.
 
-    df should be hash-partitioned by key into the same number of buckets, as a fold
-    leaves it: then every task writes its own buckets, one file each, and nothing
-    is shuffled again. The statistics are gathered while the rows are written.
+    The last shuffle of df, as a fold leaves it, is made to have one partition for each bucket:
+    then every task writes its own buckets, one file each, and nothing is shuffled again. The
+    statistics are gathered while the rows are written. No catalog takes part.
     """
-    name = f"strata_run_{uuid.uuid4().hex}"
-    spark = df.sparkSession
+    spark = own_session(df.sparkSession, {"spark.sql.shuffle.partitions": buckets})
     seen = Observation()
-    df = df.observe(
+    df = within(spark, df).observe(
         seen,
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("is_deleted"), 1)).alias("t"),
@@ -52,35 +61,24 @@ def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int,
         F.min("seq").alias("s0"),
         F.max("seq").alias("s1"),
     )
-    writer = df.write.format("parquet").bucketBy(buckets, "key").sortBy("key").option("path", path)
+    options = {"path": path}
     if bloom:
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-    writer.saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        options |= {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    write = _source(spark, (), None, (), buckets, options).planForWriting(
+        spark._jvm.org.apache.spark.sql.SaveMode.ErrorIfExists, df._jdf.queryExecution().analyzed()
+    )
+    spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, write)  # a command runs at once
     m = seen.get
     return Run(path, level, run_seq, m["n"], m["t"], m["lo"], m["hi"], m["s0"], m["s1"]) if m["n"] else None
 
 
 def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str, buckets: int) -> DataFrame:
-    """The given (run_seq, path) runs as one bucketed DataFrame; path ends in strata_run=N-X and gives strata_run, N.
+    """The given (run_seq, path) runs as one bucketed DataFrame; strata_run has the run_seq of each row.
 
-    The relation is built from the files alone. Spark's reader has no way to state
-    buckets without a catalog table, hence the call into its DataSource class.
+    The relation is built from the files alone; their folders have names strata_run=X.
     """
-    jvm, utils = spark._jvm, spark._jvm.PythonUtils
-    some = jvm.scala.Option.apply
-    names = utils.toSeq(["key"])
-    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, names, names)
     schema = spark._jsparkSession.parseDataType(T._parse_datatype_string(f"{columns}, {PARTITION} string").json())
-    relation = jvm.org.apache.spark.sql.execution.datasources.DataSource(
-        spark._jsparkSession,
-        "parquet",
-        utils.toSeq([path for _, path in runs]),
-        some(schema),
-        utils.toSeq([PARTITION]),
-        some(spec),
-        utils.toScalaMap({"basePath": runs[0][1].rsplit("/", 1)[0]}),
-        some(None),
-    ).resolveRelation(True, True)
-    df = DataFrame(spark._jsparkSession.baseRelationToDataFrame(relation), spark)
-    return df.withColumn(PARTITION, F.substring_index(PARTITION, "-", 1).cast("bigint"))
+    source = _source(spark, [path for _, path in runs], schema, [PARTITION], buckets, {"basePath": runs[0][1].rsplit("/", 1)[0]})
+    df = DataFrame(spark._jsparkSession.baseRelationToDataFrame(source.resolveRelation(True, True)), spark)
+    numbers = F.create_map(*[F.lit(x) for n, path in runs for x in (path.rsplit("=", 1)[1], n)])
+    return df.withColumn(PARTITION, numbers[F.col(PARTITION)].cast("bigint"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_root(spark: SparkSession) -> str:
@@ -28,8 +29,26 @@ def work_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique folder name below work_root; nothing is created yet."""
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, empty folder below work_root, deleted when the application ends: results that are read from it are lazy."""
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    fs = Fs(spark, path)
+    fs.mkdirs()
+    fs.delete_on_exit()
+    return path
+
+
+def own_session(spark: SparkSession, conf: dict[str, object]) -> SparkSession:
+    """A copy of a session with some settings of its own; the given session keeps its settings, also for other threads."""
+    copy = spark._jsparkSession.cloneSession()
+    for name, value in conf.items():
+        copy.conf().set(name, str(value))
+    return SparkSession(spark.sparkContext, copy)
+
+
+def within(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, to be run under the settings of another session of the same application."""
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(rows, spark)
 
 
 class Fs:
@@ -72,10 +91,24 @@ class Fs:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(name) or not self._fs.rename(self._path(temporary), self._path(name)):
+        try:
+            return self._publish(temporary, name)
+        finally:
             self._fs.delete(self._path(temporary), False)
-            return False
-        return True
+
+    def _publish(self, temporary: str, name: str) -> bool:
+        """Give a file its name, unless the name is taken. A link on local disks and a rename elsewhere both do it in one step."""
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(*(self._path(n).toUri().getPath() for n in (temporary, name)))
+            except FileExistsError:
+                return False
+            return True
+        return not self.exists(name) and self._fs.rename(self._path(temporary), self._path(name))
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
+
+    def delete_on_exit(self) -> None:
+        """Delete the root, which must exist, when this application's JVM ends."""
+        self._fs.deleteOnExit(self._path(""))

@@ -13,7 +13,7 @@ from .schema import EVENT
 #: Events kept until they are read; more are dropped, never waited for.
 BUFFER = 1024
 
-STATS = "total_keys long, live_keys long, memtable_keys long, wal_segments long, sstables long, last_write_ms long, last_read_ns long, last_recovery_ms long, compactions long, flushes long"
+STATS = "total_keys long, live_keys long, memtable_keys long, run_rows long, run_tombstones long, memtable_rows long, wal_segments long, sstables long, last_write_ms long, last_read_ns long, last_recovery_ms long, compactions long, flushes long"
 
 
 class Telemetry:
@@ -57,6 +57,7 @@ class Telemetry:
         rows = [self._events.popleft() for _ in range(len(self._events))]
         return self._spark.createDataFrame(rows, EVENT)
 
-    def snapshot(self, total: int, live: int, memtable: int, m) -> DataFrame:
-        row = (total, live, memtable, len(m.segments), len(m.runs), self._write_ms, self._read_ns, self._recovery_ms, m.compactions, m.flushes)
-        return self._spark.createDataFrame([row], STATS)
+    def snapshot(self, total: int | None, live: int | None, memtable: int | None, m) -> DataFrame:
+        stored = (sum(r.n_records for r in m.runs), sum(r.n_tombstones for r in m.runs), sum(s.n_records for s in m.pending()))
+        times = (self._write_ms, self._read_ns, self._recovery_ms)
+        return self._spark.createDataFrame([(total, live, memtable, *stored, len(m.segments), len(m.runs), *times, m.compactions, m.flushes)], STATS)

@@ -158,21 +158,103 @@ def test_concurrent_writers(spark, folder):
 
 def test_batches_apply_once_and_empty_ones_nothing(spark, folder):
     s = Store.open(spark, folder, NEVER)
-    assert put(s, (b"k", b"1"), batch_id="b1") == 1
-    assert put(s, (b"k", b"2"), batch_id="b1") == 0
+    assert put(s, (b"k", b"1"), batch=("b", 1)) == 1
+    assert put(s, (b"k", b"2"), batch=("b", 1)) == 0
     assert s.put(spark.createDataFrame([], "key binary, value binary")) == 0
-    assert state(s) == {b"k": b"1"}
+    assert s.put(spark.createDataFrame([], "key binary, value binary"), batch=("b", 2)) == 0
+    assert put(s, (b"k", b"2"), batch=("b", 2)) == 0
+    assert state(s) == {b"k": b"1"} and s.manifest.batches == {"b": 2}
 
 
-def test_the_last_batch_of_a_resting_stream_is_remembered(spark, folder, monkeypatch):
-    monkeypatch.setattr("strata.plans.store.BATCHES", 2)
+def test_a_repeat_is_known_however_many_batches_others_applied(spark, folder):
     s = Store.open(spark, folder, NEVER)
-    assert put(s, (b"k", b"old"), batch_id="rests-7") == 1
-    for i in range(4):
-        assert put(s, (b"k", b"new"), batch_id=f"works-{i}") == 1
+    assert put(s, (b"k", b"old"), batch=("rests", 7)) == 1
+    # As 3,000 commits of other streams would leave the manifest.
+    s._commit(lambda m: {"batches": m.batches | {f"other{i}": 1000 for i in range(3000)}})
+    assert put(s, (b"k", b"new"), batch=("works", 0)) == 1
     s = Store.open(spark, folder)
-    assert put(s, (b"k", b"old"), batch_id="rests-7") == 0
-    assert state(s) == {b"k": b"new"} and set(s.manifest.batches) == {"rests-7", "works-2", "works-3"}
+    assert put(s, (b"k", b"old"), batch=("rests", 7)) == 0
+    assert state(s) == {b"k": b"new"}
+
+
+def test_null_keys_are_stored_nowhere(spark, folder):
+    s = Store.open(spark, folder, NEVER)
+    assert put(s, (None, b"x"), (b"k", b"v")) == 1
+    assert state(s) == {b"k": b"v"}
+    s.flush()
+    assert state(s) == {b"k": b"v"}
+    assert put(s, (None, b"x")) == 0 and s.manifest.next_segment == 2
+
+
+def test_background_work_and_barrier(spark, folder):
+    s = Store.open(spark, folder, Options(memtable_threshold=1, fanout=2, buckets=2, background=True))
+    for i in range(4):
+        put(s, (b"k%d" % i, b"v%d" % i))
+    s.barrier()
+    assert not s.manifest.pending() and s.manifest.flushes >= 1
+    assert state(s) == {b"k%d" % i: b"v%d" % i for i in range(4)}
+    s._tasks.append(s._start(lambda: 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        s.barrier()
+    put(s, (b"k9", b"v9"))
+    s.close()  # waits
+    assert Store.open(spark, folder).get(b"k9") == (b"v9", True)
+
+
+def test_a_flush_lets_batches_in(spark, folder, monkeypatch):
+    """What is appended while a run is written stays in the log; nothing is written twice."""
+    s = Store.open(spark, folder, NEVER)
+    put(s, (b"a", b"1"))
+    write, runs = s._write, []
+
+    def slow(rows, level):
+        runs.append(write(rows, level))
+        put(s, (b"b", b"2"))
+        other = Store.open(spark, folder, NEVER)  # as another process would
+        put(other, (b"c", b"3"))
+        return runs[-1]
+
+    monkeypatch.setattr(s, "_write", slow)
+    s.flush()
+    assert len(runs) == 1 and len(s.manifest.runs) == 1
+    assert [x.n_records for x in s.manifest.pending()] == [1, 1]
+    assert state(s) == {b"a": b"1", b"b": b"2", b"c": b"3"}
+
+
+def test_a_merge_of_merged_runs_is_given_up(spark, folder, monkeypatch):
+    options = Options(memtable_threshold=0, fanout=2, buckets=2)
+    s = Store.open(spark, folder, Options(memtable_threshold=0, fanout=9, buckets=2))
+    for i in range(2):
+        put(s, (b"k%d" % i, b"v"))
+        s.flush()
+    a, b = Store.open(spark, folder, options), Store.open(spark, folder, options)
+    write = a._write
+    monkeypatch.setattr(a, "_write", lambda rows, level: (write(rows, level), b.compact())[0])
+    assert a.compact() == 0 and b.manifest.compactions == 1
+    a.refresh()
+    assert len(a.manifest.runs) == 1 and state(a) == {b"k0": b"v", b"k1": b"v"}
+
+
+def test_rows_of_few_keys_are_flushed(spark, folder):
+    s = Store.open(spark, folder, Options(memtable_threshold=5, memtable_rows=3, buckets=2))
+    for i in range(3):
+        put(s, (b"k", b"%d" % i))
+    assert len(s.manifest.runs) == 1 and state(s) == {b"k": b"2"}
+
+
+def test_keys_are_counted_only_when_they_can_suffice(spark, folder):
+    s = Store.open(spark, folder, Options(memtable_threshold=3, buckets=2))
+    for i in range(4):
+        put(s, (b"k", b"%d" % i))
+    assert s._next_count == 5 and not s.manifest.runs  # counted at three rows, one key
+    put(s, (b"l", b""), (b"m", b""))
+    assert len(s.manifest.runs) == 1
+
+
+def test_runs_of_a_feed_hold_as_many_rows_whatever_the_gaps(spark):
+    df = spark.range(1000).selectExpr("cast(cast(id as string) as binary) as key", "id as ts", "if(id < 900, id, id << 33) as seq", "false as is_deleted")
+    sizes = [r.n_records for r in apply_feed(df, options=Options(fanout=9)).manifest.runs]
+    assert sum(sizes) == 1000 and len(sizes) == 5 and max(sizes) < 300
 
 
 def test_damage_raises(spark, folder, tmp_path):
@@ -190,16 +272,22 @@ def test_damage_raises(spark, folder, tmp_path):
         s.verify()
 
 
-def test_multi_get_and_point_reads_use_one_bucket(spark, folder):
+def test_multi_get_and_point_reads_use_one_bucket(spark, folder, monkeypatch):
     s = Store.open(spark, folder, Options(memtable_threshold=0, buckets=4))
     put(s, *[(b"k%d" % i, b"v%d" % i) for i in range(50)])
     s.flush()
     put(s, (b"k1", b"new"))
     keys = spark.createDataFrame([(b"k1",), (b"k2",), (b"no",), (b"k2",), (None,)], "key binary")
-    got = sorted((r.key and bytes(r.key) or b"", r.value and bytes(r.value), r.found) for r in s.multi_get(keys).collect())
-    assert got == [(b"", None, False), (b"k1", b"new", True), (b"k2", b"v2", True), (b"k2", b"v2", True), (b"no", None, False)]
-    plan = fold(s._rows().where("key = X'6B31'"))._jdf.queryExecution().executedPlan().toString()
-    assert "SelectedBucketsCount: 1 out of 4" in plan
+    want = [(b"", None, False), (b"k1", b"new", True), (b"k2", b"v2", True), (b"k2", b"v2", True), (b"no", None, False)]
+    read = lambda: sorted((r.key and bytes(r.key) or b"", r.value and bytes(r.value), r.found) for r in s.multi_get(keys).collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert read() == want
+    assert "SelectedBucketsCount: 1 out of 4" in plan(fold(s._rows().where("key = X'6B31'")))
+    one = plan(s.multi_get(keys.limit(1)))
+    assert "SelectedBucketsCount: 1 out of 4" in one and "PushedFilters: [In(key" in one or "EqualTo(key" in one
+    monkeypatch.setattr("strata.plans.store.FEW_KEYS", 2)
+    assert read() == want
+    assert s.multi_get(keys.where("false")).count() == 0 and s.multi_get(keys.where("key is null")).first().found is False
 
 
 def test_merge_on_read_has_no_shuffle(spark, folder):
@@ -220,8 +308,10 @@ def test_index_manifest_and_telemetry(spark, folder):
     assert sorted(r.pos for r in s.index().collect()) == [0, 10, 20]
     m = s.manifest_df().collect()[0]
     assert (m.n_records, m.level, bytes.fromhex(m.min_key), bytes.fromhex(m.max_key)) == (25, 0, b"k00", b"k24")
-    stats = s.snapshot().collect()[0]
+    stats = s.snapshot(exact=True).collect()[0]
     assert (stats.total_keys, stats.live_keys, stats.memtable_keys, stats.sstables, stats.flushes) == (25, 24, 1, 1, 1)
+    quick = s.snapshot().collect()[0]
+    assert (quick.run_rows, quick.run_tombstones, quick.memtable_rows, quick.total_keys) == (25, 0, 1, None)
     kinds = [r.type for r in s.events().collect()]
     assert kinds == ["recover", "put", "flush", "delete", "get"] and s.events().count() == 0
 

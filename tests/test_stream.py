@@ -15,9 +15,22 @@ def test_stream_into_a_store_once(spark, folder, tmp_path):
         q = ingest(spark.readStream.schema(SCHEMA).parquet(src), store, folder + "/ck")
         q.awaitTermination()
     assert {bytes(r.key) for r in store.state().collect()} == {b"b", b"c"}
-    assert set(store.manifest.batches) == {"ingest-0", "ingest-1"}
+    assert store.manifest.batches == {q.id: 1}
     # A batch that runs again changes nothing.
-    assert store.apply(spark.createDataFrame(rows[0], SCHEMA), batch_id="ingest-0") == 0
+    assert store.apply(spark.createDataFrame(rows[0], SCHEMA), batch=(q.id, 0)) == 0
+
+
+def test_streams_do_not_take_each_other_for_repeats(spark, folder, tmp_path):
+    store = Store.open(spark, folder + "/store", Options(memtable_threshold=0, buckets=2))
+    short = "key binary, value binary, ts long, is_deleted boolean"
+    for n in ("a", "b"):
+        spark.createDataFrame([(n.encode(), b"1", 1, False)], short).write.parquet(str(tmp_path / n))
+        ingest(spark.readStream.schema(short).parquet(str(tmp_path / n)), store, f"{folder}/ck-{n}").awaitTermination()
+    assert {bytes(r.key) for r in store.state().collect()} == {b"a", b"b"} and len(store.manifest.batches) == 2
+    # A new checkpoint makes a new stream, whose batches count.
+    again = ingest(spark.readStream.schema(short).parquet(str(tmp_path / "a")), store, f"{folder}/ck-new")
+    again.awaitTermination()
+    assert store.manifest.batches[again.id] == 0 and store.log().count() == 3
 
 
 def test_streaming_fold(spark, tmp_path):
