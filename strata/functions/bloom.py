@@ -10,7 +10,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
@@ -19,6 +19,9 @@ ZERO_HASH = 0x9E3779B97F4A7C15
 FNV64 = (0xCBF29CE484222325, 0x100000001B3)
 FNV32 = (0x811C9DC5, 0x01000193)
 
+#: Bits of a filter that may be built from a column and sent to the executors: 256 MB. Larger sets take one filter for each run.
+MOST_BITS = 1 << 31
+
 
 def size_for(n_keys: int) -> tuple[int, int]:
     """Bits and hashes of a filter for so many keys."""
@@ -35,17 +38,22 @@ def _fnv(keys: np.ndarray, lengths: np.ndarray, offset: int, prime: int, kind) -
 
 
 def places(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    """Bit places, one row for each key."""
+    """Bit places, one row for each key. Keys are hashed together with keys of about their length, so a long one costs itself alone."""
     lengths = np.array([len(k) for k in keys], np.int64)
-    width = int(lengths.max(initial=0))
-    padded = np.frombuffer(b"".join(bytes(k).ljust(width, b"\0") for k in keys), np.uint8).reshape(len(keys), width)
-    h1 = _fnv(padded, lengths, *FNV64, np.uint64)
-    h2 = _fnv(padded, lengths, *FNV32, np.uint32).astype(np.uint64)
-    h1[h1 == 0] = ZERO_HASH
-    h2[h2 == 0] = ZERO_HASH
-    with np.errstate(over="ignore"):
-        sums = h1[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]
-    return (sums % np.uint64(bits)).astype(np.int64)
+    out = np.empty((len(keys), hashes), np.int64)
+    classes = np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64)
+    for c in np.unique(classes):
+        at = np.flatnonzero(classes == c)
+        n, width = lengths[at], int(lengths[at].max())
+        padded = np.frombuffer(b"".join(bytes(keys[i]).ljust(width, b"\0") for i in at), np.uint8).reshape(len(at), width)
+        h1 = _fnv(padded, n, *FNV64, np.uint64)
+        h2 = _fnv(padded, n, *FNV32, np.uint32).astype(np.uint64)
+        h1[h1 == 0] = ZERO_HASH
+        h2[h2 == 0] = ZERO_HASH
+        with np.errstate(over="ignore"):
+            sums = h1[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]
+        out[at] = (sums % np.uint64(bits)).astype(np.int64)
+    return out
 
 
 def _spread(s: pd.Series, of) -> pd.Series:
@@ -95,10 +103,12 @@ class Bloom:
 
 
 def build(df: DataFrame, key: str, bits: int, hashes: int = HASHES) -> Bloom:
-    """The filter of a column of keys, null keys left out.
+    """The filter of a column of keys, null keys left out; at most MOST_BITS.
 
     Places are combined to 64-bit words in each map task; at most bits / 64 rows reach the driver.
     """
+    if bits > MOST_BITS:
+        raise ValueError(f"{bits} bits are too many to be held by one process; the most are {MOST_BITS}")
     p = df.where(F.col(key).isNotNull()).select(F.explode(bit_places(F.col(key), bits, hashes)).alias("p"))
     word, bit = F.shiftright("p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
     words = p.groupBy(word).agg(F.bit_or(bit).alias("b"))
@@ -110,12 +120,20 @@ def build(df: DataFrame, key: str, bits: int, hashes: int = HASHES) -> Bloom:
     return out
 
 
-def might_contain(key: Column, bloom: Bloom) -> Column:
-    """Whether each key may be in the filter; null for a null key. The filter is sent to the executors."""
-    bits, hashes, data = bloom.bits, bloom.hashes, np.unpackbits(np.frombuffer(bytes(bloom.data), np.uint8), bitorder="little")
+def might_contain(spark: SparkSession, key: Column, bloom: Bloom) -> Column:
+    """Whether each key may be in the filter; null for a null key. The packed filter, at most MOST_BITS, is broadcast."""
+    if bloom.bits > MOST_BITS:
+        raise ValueError(f"a filter of {bloom.bits} bits is too large to be sent; the most are {MOST_BITS}")
+    sent, bits, hashes = spark.sparkContext.broadcast(bytes(bloom.data)), bloom.bits, bloom.hashes
 
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
-        return _spread(s, lambda keys: data[places(keys, bits, hashes)].all(axis=1).tolist())
+        data = np.frombuffer(sent.value, np.uint8)
+
+        def found(keys: list[bytes]) -> list[bool]:
+            p = places(keys, bits, hashes)
+            return (data[p >> 3] >> (p & 7).astype(np.uint8) & 1).all(axis=1).tolist()
+
+        return _spread(s, found)
 
     return run(key)

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import decode_record, encode_record
 from ..operators.change_feed import apply_feed, current_state
-from ..operators.fold import fold, live
+from ..operators.fold import fold, live, merge
 from ..operators.lookup import index_seek, multi_get, sparse_index
+from ..sources.manifest import level_stats
+from ..sources.native import level_and_seq
+from ..sources.runs import run_stats
+from ..telemetry import counts
+from . import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,13 +83,9 @@ def flush_runs(spark, d):
 
 
 def compact_merge(spark, d):
-    """AG3, MT2: the first 40 runs merged."""
-    return fold(run_rows(spark, d).where("run_id < 40").drop("run_id"), order=("seq",))
-
-
-def compact_merge_all(spark, d):
-    """AG3, MT2: all runs merged."""
-    return fold(run_rows(spark, d).drop("run_id"), order=("seq",))
+    """AG3, MT2, SO8: all runs, as three inputs, merged."""
+    r = run_rows(spark, d).withColumn("ts", F.col("seq"))
+    return merge([r.where(F.col("run_id") % 3 == i).drop("run_id") for i in range(3)]).select("key", "value", "seq", "is_deleted")
 
 
 def compact_merge_ties(spark, d):
@@ -95,8 +96,8 @@ def compact_merge_ties(spark, d):
 
 def levels_overfull(spark, d):
     """AG6: levels with at least 34 runs."""
-    r = run_rows(spark, d).groupBy((F.col("run_id") % 3).cast("int").alias("lvl")).agg(F.countDistinct("run_id").alias("n"))
-    return r.where("n >= 34")
+    runs = run_rows(spark, d).select((F.col("run_id") % 3).cast("int").alias("level"), F.col("run_id").alias("run_seq"), F.lit(1).alias("n_records")).distinct()
+    return level_stats(runs, 34).where("overfull").select(F.col("level").alias("lvl"), F.col("n_runs").alias("n"))
 
 
 def layered_get(spark, d):
@@ -111,12 +112,12 @@ def sparse_index_query(spark, d):
 
 
 def index_seek_query(spark, d):
-    """LK5: where a forward scan for each key begins, an as-of lookup."""
-    idx = sparse_index(run_rows(spark, d).where("run_id = 0").select("run_id", "key"), 10)
-    return index_seek(clog(spark, d).select("key").distinct(), idx.select("key", "pos"))
+    """LK5: where a forward scan for each key begins in the merged runs, an as-of lookup."""
+    merged = fold(run_rows(spark, d).drop("run_id"), order=("seq",)).select(F.lit(0).alias("run_id"), "key")
+    return index_seek(clog(spark, d).select("key").distinct(), sparse_index(merged, 10).select("key", "pos"))
 
 
-def index_seek_all(spark, d):
+def index_seek_bytes(spark, d):
     """LK5, SO7: every key of the change log looked up in the sparse index of all stored runs, merged."""
     merged = fold(table(spark, d, "run_row").where("key IS NOT NULL")).select("key", F.lit(0).alias("run_id"))
     found = index_seek(table(spark, d, "change_log"), sparse_index(merged, 10).select("key", "pos"))
@@ -125,12 +126,7 @@ def index_seek_all(spark, d):
 
 def snapshot_size(spark, d):
     """AG5, SC9, AG8: manifest columns of each run."""
-    return run_rows(spark, d).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.sum(F.col("is_deleted").cast("int")).alias("n_tomb"),
-        F.min("key").alias("min_key"),
-        F.max("key").alias("max_key"),
-    )
+    return run_rows(spark, d).groupBy("run_id").agg(*run_stats(n="n_records", t="n_tomb", lo="min_key", hi="max_key"))
 
 
 def replay_suffix(spark, d):
@@ -146,7 +142,7 @@ def space_amp(spark, d):
 
 def telemetry_counts(spark, d):
     """TL5: events by type."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts(table(spark, d, "events").withColumnRenamed("event_type", "type")).withColumnRenamed("type", "event_type")
 
 
 def record_codec(spark, d):
@@ -165,32 +161,22 @@ def run_merge(spark, d):
 
 
 def manifest_levels(spark, d):
-    """SC9, AG6, AG7: finished runs, their rows and overfullness by level."""
-    m = table(spark, d, "run_manifest").where("n_records IS NOT NULL")
-    g = m.groupBy("level").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_records").alias("n_rows"), F.max("run_seq").alias("max_run"))
-    return g.withColumn("overfull", F.col("n_runs") >= 4)
+    """SC9, AG6-AG8: finished runs, their rows, the newest one and overfullness by level."""
+    return level_stats(table(spark, d, "run_manifest").where("n_records IS NOT NULL"), 4)
 
 
 def manifest_check(spark, d):
-    """Q16: runs whose recorded row count differs from the rows stored once."""
+    """Q16: recorded row count of each finished run beside the rows that are stored, repeated ones once."""
     r = table(spark, d, "run_row").distinct().groupBy(F.col("run_id").cast("long").alias("run_seq")).agg(F.count(F.lit(1)).alias("n_stored"))
-    m = table(spark, d, "run_manifest").select("path", "run_seq", "n_records")
-    return m.join(r, "run_seq", "left").where("n_records IS NOT NULL AND NOT n_records <=> n_stored")
+    m = table(spark, d, "run_manifest").where("n_records IS NOT NULL").select("path", "run_seq", "n_records")
+    return m.join(r, "run_seq", "left").withColumn("wrong", ~F.col("n_records").eqNullSafe(F.col("n_stored")))
 
 
 def segment_names(spark, d):
-    """SC11, SC12, SK11: level and sequence out of run file names."""
-    m = table(spark, d, "run_manifest")
-    name = F.regexp_extract("path", r"^l(\d+)-run-(\d+)\.parquet$", 0) != ""
-    part = [F.regexp_extract("path", r"^l(\d+)-run-(\d+)\.parquet$", i).cast("long") for i in (1, 2)]
-    return m.where(name).select("path", part[0].alias("lvl"), part[1].alias("seq"), F.format_string("%020d", part[1]).alias("padded"))
-
-
-def store_state(spark, d):
-    """SK1, SK2, SK5, MT1, MT2, LK1: the change log through a store with flushes and compactions."""
-    c = table(spark, d, "change_log")
-    store = apply_feed(c)
-    return current_state(store).select("key_hex", "seq", F.hex("value").alias("value_hex"))
+    """SC11, SC12, SK11, FN10: level and sequence out of run file names."""
+    level, seq = level_and_seq(F.col("path"), "run", "parquet")
+    named = table(spark, d, "run_manifest").select("path", level.alias("lvl"), seq.alias("seq"))
+    return named.where("seq IS NOT NULL").withColumn("padded", F.format_string("%020d", "seq"))
 
 
 def p3_found(spark, d):
@@ -213,13 +199,12 @@ QUERIES: dict[str, Query] = {
     "multi_get": multi_get_query,
     "flush_runs": flush_runs,
     "compact_merge": compact_merge,
-    "compact_merge_all": compact_merge_all,
     "compact_merge_ties": compact_merge_ties,
     "levels_overfull": levels_overfull,
     "layered_get": layered_get,
     "sparse_index": sparse_index_query,
     "index_seek": index_seek_query,
-    "index_seek_all": index_seek_all,
+    "index_seek_bytes": index_seek_bytes,
     "snapshot_size": snapshot_size,
     "replay_suffix": replay_suffix,
     "space_amp": space_amp,
@@ -229,10 +214,9 @@ QUERIES: dict[str, Query] = {
     "manifest_levels": manifest_levels,
     "manifest_check": manifest_check,
     "segment_names": segment_names,
-    "store_state": store_state,
     "p3_found": p3_found,
     "p3_current_state": p3_current_state,
-}
+} | lifecycle.QUERIES
 
 CL = "clog AS (SELECT CAST(user_id AS VARCHAR(20)) AS key, props AS value, event_id AS seq, event_type='error' AS is_deleted FROM events)"
 RUNS = (
@@ -253,14 +237,13 @@ SQL: dict[str, str] = {
     "get_point": f"WITH {CL} SELECT key,value FROM {LATEST} AND NOT is_deleted AND key='7'",
     "multi_get": f"WITH {CL} SELECT CAST(c_custkey AS VARCHAR(20)) AS key, l.value, l.key IS NOT NULL AS found FROM customer LEFT JOIN (SELECT key,value FROM {LATEST} AND NOT is_deleted) l ON l.key=CAST(c_custkey AS VARCHAR(20))",
     "flush_runs": f"WITH {RUNS} SELECT * FROM run_rows",
-    "compact_merge": f"WITH {RUNS} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM run_rows WHERE run_id<40) t WHERE rn=1",
-    "compact_merge_all": f"WITH {RUNS} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM run_rows) t WHERE rn=1",
+    "compact_merge": f"WITH {RUNS} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM run_rows) t WHERE rn=1",
     "compact_merge_ties": f"WITH {RUNS} SELECT key,run_id,seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(floor(seq/5000) AS INT) DESC, run_id ASC) rn FROM run_rows) t WHERE rn=1",
     "levels_overfull": f"WITH {RUNS} SELECT lvl, n FROM (SELECT CAST(run_id % 3 AS INT) lvl, count(DISTINCT run_id) n FROM run_rows GROUP BY CAST(run_id % 3 AS INT)) t WHERE n>=34",
     "layered_get": f"WITH {RUNS} SELECT key,value,run_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN run_id>=80 THEN 0 ELSE 1 END, run_id DESC) rn FROM run_rows) t WHERE rn=1 AND NOT is_deleted",
     "sparse_index": f"WITH {RUNS} SELECT run_id,key,pos FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY key)-1 AS pos FROM run_rows) t WHERE pos % 10 = 0",
-    "index_seek": f"WITH {RUNS}, idx AS (SELECT key,pos FROM (SELECT *, row_number() OVER (ORDER BY key)-1 AS pos FROM run_rows WHERE run_id=0) t WHERE pos % 10 = 0) SELECT k.key, max(i.pos) AS start_pos FROM (SELECT DISTINCT key FROM clog) k LEFT JOIN idx i ON i.key<=k.key GROUP BY k.key",
-    "index_seek_all": f"WITH idx AS (SELECT key,pos FROM (SELECT key, row_number() OVER (ORDER BY key)-1 AS pos FROM {VALID.format('run_row')}) t WHERE pos % 10 = 0) SELECT upper(hex(k.key)) AS key_hex, i.pos AS start_pos FROM (SELECT DISTINCT key FROM change_log) k ASOF LEFT JOIN idx i ON i.key<=k.key",
+    "index_seek": f"WITH {RUNS}, merged AS (SELECT DISTINCT key FROM run_rows), idx AS (SELECT key,pos FROM (SELECT key, row_number() OVER (ORDER BY key)-1 AS pos FROM merged) t WHERE pos % 10 = 0) SELECT k.key, max(i.pos) AS start_pos FROM (SELECT DISTINCT key FROM clog) k LEFT JOIN idx i ON i.key<=k.key GROUP BY k.key",
+    "index_seek_bytes": f"WITH idx AS (SELECT key,pos FROM (SELECT key, row_number() OVER (ORDER BY key)-1 AS pos FROM {VALID.format('run_row')}) t WHERE pos % 10 = 0) SELECT upper(hex(k.key)) AS key_hex, i.pos AS start_pos FROM (SELECT DISTINCT key FROM change_log) k ASOF LEFT JOIN idx i ON i.key<=k.key",
     "snapshot_size": f"WITH {RUNS} SELECT run_id, count(*) n_records, sum(CASE WHEN is_deleted THEN 1 ELSE 0 END) n_tomb, min(key) min_key, max(key) max_key FROM run_rows GROUP BY run_id",
     "replay_suffix": f"WITH {CL} SELECT key,value,seq,is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM clog WHERE seq>6000) t WHERE rn=1",
     "space_amp": f"WITH {RUNS} SELECT count(*) AS n_rows, count(DISTINCT key) n_keys, count(*)-count(DISTINCT key) n_dead FROM run_rows",
@@ -268,9 +251,8 @@ SQL: dict[str, str] = {
     "record_codec": f"SELECT seq, upper(hex(key)) AS key_hex, CASE WHEN coalesce(is_deleted, FALSE) THEN NULL ELSE upper(hex(coalesce(value, ''::BLOB))) END AS value_hex, ts, coalesce(is_deleted, FALSE) AS is_deleted, CAST(25 + octet_length(key) + coalesce(octet_length({DEAD_VALUE}), 0) AS INT) AS n_bytes FROM change_log WHERE key IS NOT NULL",
     "run_merge": f"SELECT upper(hex(key)) AS key_hex, upper(hex(value)) AS value_hex, ts, seq, is_deleted FROM {VALID.format('run_row')}",
     "manifest_levels": "SELECT level, count(*) AS n_runs, sum(n_records) AS n_rows, max(run_seq) AS max_run, count(*) >= 4 AS overfull FROM run_manifest WHERE n_records IS NOT NULL GROUP BY level",
-    "manifest_check": "SELECT m.path, m.run_seq, m.n_records, r.n_stored FROM run_manifest m LEFT JOIN (SELECT run_id, count(*) n_stored FROM (SELECT DISTINCT * FROM run_row) d GROUP BY run_id) r ON r.run_id = m.run_seq WHERE m.n_records IS NOT NULL AND m.n_records IS DISTINCT FROM r.n_stored",
+    "manifest_check": "SELECT m.path, m.run_seq, m.n_records, r.n_stored, m.n_records IS DISTINCT FROM r.n_stored AS wrong FROM run_manifest m LEFT JOIN (SELECT run_id, count(*) n_stored FROM (SELECT DISTINCT * FROM run_row) d GROUP BY run_id) r ON r.run_id = m.run_seq WHERE m.n_records IS NOT NULL",
     "segment_names": r"SELECT path, CAST(regexp_extract(path, '^l(\d+)-run-(\d+)\.parquet$', 1) AS BIGINT) AS lvl, CAST(regexp_extract(path, '^l(\d+)-run-(\d+)\.parquet$', 2) AS BIGINT) AS seq, lpad(regexp_extract(path, '^l(\d+)-run-(\d+)\.parquet$', 2), 20, '0') AS padded FROM run_manifest WHERE regexp_matches(path, '^l(\d+)-run-(\d+)\.parquet$')",
-    "store_state": STATE.format(", upper(hex(value)) AS value_hex"),
     "p3_found": STATE.format(""),
     "p3_current_state": STATE.format(", upper(hex(value)) AS value_hex"),
-}
+} | lifecycle.SQL

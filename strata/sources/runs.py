@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,11 @@ def ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
+def run_stats(n: str = "n", t: str = "t", lo: str = "lo", hi: str = "hi") -> list[Column]:
+    """Rows, tombstones, least and greatest key of a run, under the given names (AG5)."""
+    return [F.count(F.lit(1)).alias(n), F.count(F.when(F.col("is_deleted"), 1)).alias(t), F.min("key").alias(lo), F.max("key").alias(hi)]
+
+
 def _source(spark: SparkSession, paths: Sequence[str], schema, partitions: Sequence[str], buckets: int, options: dict[str, str]):
     """Spark's file source with buckets. Its reader and writer have no way to state them without a catalog table."""
     jvm, utils = spark._jvm, spark._jvm.PythonUtils
@@ -54,10 +59,7 @@ def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int,
     seen = Observation()
     df = within(spark, df).observe(
         seen,
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("is_deleted"), 1)).alias("t"),
-        F.hex(F.min("key")).alias("lo"),
-        F.hex(F.max("key")).alias("hi"),
+        *run_stats(),
         F.min("seq").alias("s0"),
         F.max("seq").alias("s1"),
     )
@@ -69,7 +71,7 @@ def write_run(df: DataFrame, path: str, level: int, run_seq: int, buckets: int,
     )
     spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, write)  # a command runs at once
     m = seen.get
-    return Run(path, level, run_seq, m["n"], m["t"], m["lo"], m["hi"], m["s0"], m["s1"]) if m["n"] else None
+    return Run(path, level, run_seq, m["n"], m["t"], m["lo"].hex().upper(), m["hi"].hex().upper(), m["s0"], m["s1"]) if m["n"] else None
 
 
 def read_runs(spark: SparkSession, runs: Sequence[tuple[int, str]], columns: str, buckets: int) -> DataFrame:

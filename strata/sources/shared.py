@@ -83,6 +83,20 @@ class Fs:
         finally:
             stream.close()
 
+    def read_bytes(self, name: str) -> bytes:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, name: str, data: bytes) -> None:
+        stream = self._fs.create(self._path(name), False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def write_new(self, name: str, text: str) -> bool:
         """Write a file that must not exist yet, complete or not at all; False if it exists."""
         temporary = f"{name}.{uuid.uuid4().hex}.tmp"

@@ -7,6 +7,7 @@ from collections import deque
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schema import EVENT
 
@@ -16,6 +17,11 @@ BUFFER = 1024
 STATS = "total_keys long, live_keys long, memtable_keys long, run_rows long, run_tombstones long, memtable_rows long, wal_segments long, sstables long, last_write_ms long, last_read_ns long, last_recovery_ms long, compactions long, flushes long"
 
 
+def counts(events: DataFrame) -> DataFrame:
+    """type, n of rows of events (TL5)."""
+    return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 class Telemetry:
     def __init__(self, spark: SparkSession, buffer: int = BUFFER) -> None:
         self._spark, self._limit = spark, buffer

@@ -23,10 +23,10 @@ def test_point_lookup_is_pushed_down(spark, small):
 
 
 def test_merge_and_seek_over_all_runs(spark, small):
-    merged = core.QUERIES["compact_merge_all"](spark, small)
+    merged = core.QUERIES["compact_merge"](spark, small)
     assert merged.agg({"seq": "max"}).first()[0] == core.clog(spark, small).agg({"seq": "max"}).first()[0]
     keys = core.table(spark, small, "run_row").where("key IS NOT NULL").select("key").distinct().count()
-    starts = [r.start_pos for r in core.QUERIES["index_seek_all"](spark, small).select("start_pos").distinct().collect()]
+    starts = [r.start_pos for r in core.QUERIES["index_seek_bytes"](spark, small).select("start_pos").distinct().collect()]
     assert keys > 100 and max(p for p in starts if p is not None) == (keys - 1) // 10 * 10
 
 
