@@ -10,6 +10,9 @@ text that could be taken for placeholders are hidden first.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +36,15 @@ HIDE = (
     + "\ue035\ue036\ue037\ue038\ue039\ue03a\ue03b\ue03c\ue03d" + ZERO * 7 + "\ue040\ue041\ue042\ue043\ue044"
     + "\ue046\ue047\ue048\ue049\ue04a\ue04b\ue04c\ue04d\ue04e\ue04f\ue050",
 )
+LIST = "\ue002"  # inserted for a while: the next line is an item of a list
+# Private-use characters of the text that could be taken for placeholders, and the one in their place.
+FOREIGN = ("".join(map(chr, range(0xE000, 0xE060))), "\uf8ff" * 0x60)
 
 # Fullwidth letters and digits, and the ordinary ones in their place.
 WIDE_FORMS = tuple("".join(chr(shift + ord(c)) for r in ("09", "AZ", "az") for c in map(chr, range(ord(r[0]), ord(r[1]) + 1))) for shift in (0xFEE0, 0))
 
 WS = r"[\s\u0085\u001c-\u001f\p{Z}]"
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the characters of WS
 HS = r" \t\u00a0\u3000\u2009\u202f"
 NL = r"(?>\r\n|[\n\r\u0085\u2028\u2029])"
 NO_NL = r"[^\n\r\u0085\u2028\u2029]"
@@ -68,10 +75,29 @@ ALIKE = ("aа", "cс", "eе", "oо", "pр", "xх", "yу", "iі", "sѕ", "mм", "
 
 
 def _any(words: list[str]) -> str:
-    """Any of the words, also with look-alike letters, or characters without width after a letter."""
-    classes = {c: f"[{pair}]" for pair in ALIKE for c in pair}
-    spell = lambda w: "".join(rf"{DOT}\s?" if c == "·" else f"{classes.get(c, c)}{ZERO}?" for c in w)
-    return "|".join(spell(w.lower()) for w in words)
+    """Any of the words, in either case, also with look-alike letters, or characters without width after a letter.
+
+    Words that begin alike share their beginning, so that few letters are tried at a place.
+    """
+    alike = {c: pair for pair in ALIKE for c in pair}
+
+    def letter(c: str) -> str:
+        if c == "·":
+            return rf"{DOT}\s?"
+        forms = "".join(dict.fromkeys(x for y in alike.get(c, c) for x in (y, y.upper()) if len(x) == 1))
+        return f"{f'[{forms}]' if len(forms) > 1 else forms}{ZERO}?"
+
+    def branch(rests: list[str]) -> str:
+        heads = dict.fromkeys(alike.get(r[0], r[0]) for r in rests if r)
+        parts = [letter(h[0]) + branch([r[1:] for r in rests if r and r[0] in h]) for h in heads]
+        return f"(?:{'|'.join(parts)}){'?' if '' in rests else ''}" if parts else ""
+
+    return branch([w.lower() for w in words])
+
+
+def _chars(ranges: str) -> list[str]:
+    """The placeholders of a class."""
+    return [chr(c) for c in range(0xE000, 0xE060) if re.match(f"[{ranges}]", chr(c))]
 
 
 def _sub(col: Column, pattern: str, by: str) -> Column:
@@ -81,114 +107,161 @@ def _sub(col: Column, pattern: str, by: str) -> Column:
 def marked(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the text with placeholders, and a mark after each unit.
 
-    Every step that reads the text twice begins a projection of its own, so that no
-    expression is computed, or written into the plan, more than once.
+    A step is a projection of its own, so that no expression is computed, or written into
+    the plan, more than once, and is left out for texts that lack what it is about: most
+    texts have no list, no quotation and letters of one script. No step looks back or ahead
+    further than a word, a run of marks or a quotation that it passes once, so the time is
+    in proportion to the text and no length changes an answer.
     """
+    t = F.col(text)
+    has = lambda *words: reduce(Column.__or__, [t.contains(w) for w in words])
+    beyond = F.length(t) != F.octet_length(t)  # not ASCII alone
     # Texts in which capitals do not tell where sentences begin.
     begin = rf"(?:^|[.!?…][”»)\"']*{WS}+)[“‘'«„(¿¡\"]*\p{{Lu}}"
-    df = df.withColumn("_flat", ~F.col(text).rlike(begin) | ~F.col(text).rlike(r"\p{Ll}{2}"))
-    flat = F.col("_flat")
-
-    def settle(w: Column) -> Column:
+    flags = {
+        "_flat": ~t.rlike(begin) | ~t.rlike(r"\p{Ll}{2}"),
+        "_lines": has("\n", "\r") | beyond & t.rlike("[\u0085\u2028\u2029]"),
+        # Ranges with all of CJK's and EMO's characters, and some more, are told faster.
+        "_cjk": beyond & t.rlike(r"[\u3002-\u9fff\uf900-\ufaff\uff01-\uff9f\x{16f00}-\x{1b2ff}\x{20000}-\x{3ffff}]"),
+        "_thai": beyond & t.rlike(f"[{THAI}]"),
+        "_emoji": beyond & t.rlike(r"[\u200d\u20e3\u2300-\u2bff\ufe0f\x{1F000}-\x{1FAFF}]"),
+        "_quote": has('"') | beyond & t.rlike("[“”„«»「」『』]"),
+        "_bracket": has(")", "）"),
+        "_dot": has("."),
+        "_dots": has("..", "…"),
+        "_firm": has("!", "?") | beyond & t.rlike("[;؟۔।॥\u037e‼⁇⁈⁉！？。｡．]"),
+    }
+    df = df.withColumns(flags)
+    flat, lines, cjk, thai, with_emoji, quote, bracket, with_dot, with_dots, with_firm = map(F.col, flags)
+
+    def step(when: Column | None, pattern: str, by: str, where_flat: tuple[str, str] | None = None) -> None:
+        """Replace in the texts that `when` tells, in those without usable capitals by where_flat."""
         nonlocal df
-        df = df.withColumn(out, w)
-        return F.col(out)
+        col = F.col(out)
+        new = _sub(col, pattern, by)
+        if where_flat is not None:
+            new = F.when(flat, _sub(col, *where_flat)).otherwise(new)
+        df = df.withColumn(out, new if when is None else F.when(when, new).otherwise(col))
 
-    w = F.translate(_sub(F.col(text), "[\ue000-\ue05f]", "\uf8ff"), *(a + b for a, b in zip(HIDE, WIDE_FORMS)))
-    w = _sub(w, r";(?<=[Ͱ-Ͽἀ-῿];)", "\ue018")  # the Greek question mark
+    df = df.withColumn(out, F.translate(t, *(a + b + c for a, b, c in zip(HIDE, WIDE_FORMS, FOREIGN))))
+    step(beyond & has(";"), r";(?<=[Ͱ-Ͽἀ-῿];)", "\ue018")  # the Greek question mark
 
     # Lines: a blank line ends a unit; a list item is one, and so is what stands before the list.
     space = rf"[{HS}]*+"
-    mark = rf"[{DOT}\ue024\ue035]"  # after the number of an item
-    w = _sub(w, rf"({NL}{space})(?={NL})", rf"$1{MARK}")
-    listed = (
-        rf"(?m)^(?={space}\d)(?:(?<=[:：][{HS}]{{0,3}}\r?\n)|(?<=[:：][{HS}]{{0,3}}\r?\n{MARK}?\r?\n)"
-        rf"|(?<=\n{MARK}?[{HS}]{{0,4}}\d{{1,2}}{mark}[{HS}]{{1,3}}[^\n\r]{{0,120}}\r?\n))"
+    number = rf"\d++[{DOT}\ue024\ue035]"  # of an item
+    step(lines, rf"({NL}{space})(?={NL})", rf"$1{MARK}")
+    # The line after a colon, also after a blank one, or after an item.
+    numbered = lines & t.rlike(rf"[\n\r][{HS}]*\d")
+    step(
+        numbered,
+        rf"(?m)((?:^{MARK}?{space}{number}[{HS}]++{NO_NL}*+\r?\n|[:：]{space}\r?\n(?:{space}{MARK}?{space}\r?\n)?))(?={space}{number}[{HS}])",
+        rf"$1{LIST}",
     )
-    w = _sub(w, rf"{listed}({space}\d{{1,2}}){mark}([{HS}]++{NO_NL}*+)", rf"{MARK}$1{HOLD}$2{MARK}")
-    w = _sub(w, rf"(?m)^({space}[-*•·‣▪●○◦–][{HS}]++{NO_NL}*+)", rf"{MARK}$1{MARK}")
+    step(numbered, rf"{LIST}({space}\d++)[{DOT}\ue024\ue035]([{HS}]++{NO_NL}*+)", rf"{MARK}$1{HOLD}$2{MARK}")
+    bullet = rf"({space}[-*•·‣▪●○◦–][{HS}]++{NO_NL}*+)"
+    step(lines | t.rlike(rf"^{bullet}"), rf"(?m)^{bullet}", rf"{MARK}$1{MARK}")
 
     # Dots of abbreviations, initials, ordinals.
     before = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?<![\p{{L}}\p{{M}}\p{{N}}]{ZERO})"
     after = rf"\p{{L}}\p{{N}}"
     begins = rf"(?={WS}*+(?:$|[{OPEN}\"{EMO}\p{{Lu}}{MARK}]))"
-    goes_on = rf"(?={WS}*+(?:$|[{OPEN}\"{EMO}{MARK}])|{WS}++(?iu:(?!(?:{_any(GOES_ON)})(?![\p{{L}}\p{{M}}])))[{after}])"
+    goes_on = rf"(?={WS}*+(?:$|[{OPEN}\"{EMO}{MARK}])|{WS}++(?!{_any(GOES_ON)}(?![\p{{L}}\p{{M}}]))[{after}])"
     single = rf"{DOT}(?!{DOT})"
-    maybe = rf"{single}(?iu:(?<={before}(?:{_any(MAYBE)}){DOT}))"
-    w = settle(w)
-    w = settle(F.when(flat, _sub(w, maybe + goes_on, STOP)).otherwise(_sub(w, maybe + begins, STOP)))
-    w = _sub(w, rf"{single}(?iu:(?<={before}(?:{_any(NEVER + MAYBE)}){DOT}))", HOLD)
-    w = _sub(w, rf"{single}(?iu:(?<={before}(?:{_any(NUMBERED)}){DOT}))(?=(?:{WS}|{ZERO}|&nbsp;)*\d)", HOLD)
-    w = _sub(w, rf"{single}(?<={before}(?<![:：][{HS}])(?![{CJK}])\p{{L}}\p{{M}}{{0,3}}{ZERO}?{DOT})", HOLD)
-    w = _sub(w, rf"{single}(?<=\d{DOT})(?=(?:{WS}|&nbsp;)++(?iu:{_any(MONTHS)})(?!\p{{L}}))", HOLD)
-    w = _sub(w, rf"{single}(?<=[{THAI}]{DOT})", HOLD)
+    maybe = rf"{single}(?<={before}{_any(MAYBE)}{DOT})"
+    step(with_dot, maybe + begins, STOP, (maybe + goes_on, STOP))
+    held = (
+        rf"(?<={before}{_any(NEVER + MAYBE)}{DOT})",
+        rf"(?<={before}{_any(NUMBERED)}{DOT})(?=(?:{WS}|{ZERO}|&nbsp;)*+\d)",
+        rf"(?<={before}(?<![:：][{HS}])(?![{CJK}])\p{{L}}\p{{M}}{{0,3}}{ZERO}?{DOT})",
+        rf"(?<=\d{DOT})(?=(?:{WS}|&nbsp;)++{_any(MONTHS)}(?!\p{{L}}))",
+        rf"(?<=[{THAI}]{DOT})",
+    )
+    step(with_dot, rf"{single}(?:{'|'.join(held)})", HOLD)
 
     # Quotation marks that open and close alike, or the other way round.
-    w = _sub(w, rf"\"(?<![^\s\p{{Z}}{OPEN}—–;>-]\")(?=[^\s\p{{Z}}])", OPEN_Q)
-    w = _sub(w, r"\"", CLOSE_Q)
-    w = _sub(w, r"\ue040(?<=\ue044[^\ue040\ue044\ue030\n]{1,300}\ue040)", CLOSE_Q)
-    w = _sub(w, r"[ \u00a0\u202f](?=\ue031)", GAP)
-
-    # What is quoted or bracketed ends nothing before its last mark.
-    # The next quotation mark ahead closes; what lies before it is written as ranges, which match at once. A held dot is passed over.
-    unquoted = r"[\u0000-\ud7ff\ue000\ue002-\ue02f\ue035-\ue03f\ue046-\x{10ffff}]{0,300}+"
-    unbracketed = r"[\u0000-\ud7ff\ue000\ue002-\ue034\ue037-\ue045\ue048-\x{10ffff}]{0,300}+"
-    last = rf"[{T}{GAP}{ZERO}]{{0,50}}+"
-    w = _sub(w, rf"[{T}](?!{last}[{QUOTED}])(?={unquoted}[{QUOTED}])", HOLD)
-    w = _sub(w, rf"[{T}](?!{last}[{BRACKETED}])(?={unbracketed}[{BRACKETED}])", HOLD)
+    step(has('"'), rf"\"(?<![^\s\p{{Z}}{OPEN}—–;>-]\")(?=[^\s\p{{Z}}])", OPEN_Q)
+    step(has('"'), r"\"", CLOSE_Q)
+    step(beyond & has("„"), r"(\ue044[^\ue040\ue044\ue030\n]++)\ue040", rf"$1{CLOSE_Q}")
+    step(beyond & has("»"), r"[ \u00a0\u202f](?=\ue031)", GAP)
+
+    # What is quoted or bracketed ends nothing before its last marks: the text is cut behind its quotation
+    # marks, and what a closing one ends is a stretch whose marks are held. With openers it must begin at one.
+    def hold_within(when: Column, stops: str, closers: str, openers: str | None = None) -> None:
+        nonlocal df
+        df = df.withColumn("_cut", F.when(when, F.split(F.col(out), f"(?<=[{stops}])", -1)))
+        at_end = lambda p, c: F.substring(p, -1, 1).isin(_chars(c))
+
+        def settled(p: Column, i: Column) -> Column:
+            inner = F.rtrim(p, F.lit("".join(_chars(T + GAP + ZERO + closers))))
+            inside = at_end(p, closers) & inner.rlike(f"[{T}]")
+            if openers is not None:
+                inside = inside & at_end(F.get("_cut", i - 1), openers)
+            marks = _chars(T)
+            held = F.translate(inner, "".join(marks), HOLD * len(marks))
+            return F.when(inside, F.concat(held, F.substring(p, F.length(inner) + 1, F.length(p)))).otherwise(p)
+
+        df = df.withColumn(out, F.when(when, F.array_join(F.transform("_cut", settled), "")).otherwise(F.col(out)))
+
+    hold_within(quote, rf"{MARK}\ue030-\ue034\ue040-\ue045", QUOTED)
+    hold_within(bracket, rf"{MARK}\ue035\ue036\ue046\ue047", BRACKETED, r"\ue046\ue047")
 
     # A run of marks is tried from its beginning only, else long runs cost the square of their length.
     firm = rf"(?:(?=[{T}])(?<![{T}])[{DOT}{ELLIPSIS}]*+[{FIRM}][{T}]*+)"
-    dots = rf"(?:(?=[{DOT}{ELLIPSIS}])(?<![{T}])(?:{DOT}{{2,}}+|{ELLIPSIS}[{DOT}{ELLIPSIS}]*+)(?![{T}]))"
     emoji = rf"(?:[{HS}]*+[{EMO}](?:[{EMO}{HS}]*[{EMO}])?)?+"  # possessive: emoji are never cut off
     end = rf"{WS}*+(?:$|{MARK})"
     small = rf"(?={end}|{WS}++[^\p{{Ll}}\s\p{{Z}}])"
 
+    def dots(behind: str = "") -> str:
+        return rf"(?:(?=[{DOT}{ELLIPSIS}])(?<![{T}]){behind}(?:{DOT}{{2,}}+|{ELLIPSIS}[{DOT}{ELLIPSIS}]*+)(?![{T}]))"
+
+    new = r"[\p{Lu}\ue040\ue041\ue044\ue045\ue04f\ue050]"
+    df = df.withColumns(
+        {
+            "_closed": F.col(out).rlike(rf"[{T}][{CLOSE}]"),
+            "_tight": F.col(out).rlike(rf"[{T}](?:[{HS}]*+[{EMO}][{EMO}{HS}]*+)?(?:{new}|&nbsp;)"),
+            "_letter": beyond & F.col(out).rlike(rf"[{T}](?:[{HS}]*+[{EMO}][{EMO}{HS}]*+)?[\p{{Lo}}&&[^{CJK}]]"),
+        }
+    )
+    closed, tight, letter = map(F.col, ("_closed", "_tight", "_letter"))
+
     # Chinese and Japanese: marks end without a space; dots after a hesitation go on.
-    w = _sub(w, rf"{ELLIPSIS}(?<=(?:嗯|呃|う ?ー ?ん|ええと|えーと)[ {ELLIPSIS}]{{1,6}})", HOLD)
-    w = _sub(w, rf"({dots}(?<=[{CJK}][{DOT}{ELLIPSIS}]{{1,9}}){emoji})(?![{CLOSE}])", rf"$1{MARK}")
-    w = _sub(w, rf"([{WIDE}][{T}]*+{emoji})(?![{CLOSE}{T}])", rf"$1{MARK}")
-    w = _sub(w, rf"([{BANG}{QUERY}](?<![{T}].)[{BANG}{QUERY}]*+(?<=[{CJK}\p{{N}}][{BANG}{QUERY}]{{1,9}}){emoji})(?=[{CJK}\ue040\ue042\ue047{OPEN_Q}])", rf"$1{MARK}")
-    w = _sub(w, rf"([{FULL}][{T}]*+[{CLOSE}]++{emoji})(?!と|って|との|とか)", rf"$1{MARK}")
-    w = _sub(w, rf"([{LOUD}][{T}]*+[{CLOSE}]++{emoji})(?={end}|{WS}*+[{OPEN}]|{WS}++\p{{Lu}})", rf"$1{MARK}")
+    step(cjk & with_dots, rf"((?:(?<=嗯|呃|ええと|えーと)|(?<=う ?ー ?ん)|(?!\A)\G) *+){ELLIPSIS}", rf"$1{HOLD}")
+    step(cjk & with_dots, rf"({dots(rf'(?<=[{CJK}])')}{emoji})(?![{CLOSE}])", rf"$1{MARK}")
+    step(cjk, rf"([{WIDE}][{T}]*+{emoji})(?![{CLOSE}{T}])", rf"$1{MARK}")
+    step(cjk, rf"([{BANG}{QUERY}](?<=[{CJK}\p{{N}}].)[{BANG}{QUERY}]*+{emoji})(?=[{CJK}\ue040\ue042\ue047{OPEN_Q}])", rf"$1{MARK}")
+    step(cjk & closed, rf"([{FULL}][{T}]*+[{CLOSE}]++{emoji})(?!と|って|との|とか)", rf"$1{MARK}")
+    step(cjk & closed, rf"([{LOUD}][{T}]*+[{CLOSE}]++{emoji})(?={end}|{WS}*+[{OPEN}]|{WS}++\p{{Lu}})", rf"$1{MARK}")
 
     # Marks before a space or the end.
-    w = _sub(w, rf"({firm}[{ZERO}]*+{emoji})(?={WS}|$)", rf"$1{MARK}")
+    step(with_firm | F.col(out).contains(STOP), rf"({firm}[{ZERO}]*+{emoji})(?={WS}|$)", rf"$1{MARK}")
     dot = rf"({DOT}(?<![{T}]{DOT})(?![{T}]){emoji})"
-    w = settle(w)
-    w = settle(F.when(flat, _sub(w, rf"{dot}(?={WS}|$)", rf"$1{MARK}")).otherwise(_sub(w, dot + small, rf"$1{MARK}")))
-    hesitation = rf"(?iu:(?<!(?<![\p{{L}}\p{{M}}])(?:well|hm|hmm)[{DOT}{ELLIPSIS}]{{1,3}}))"
-    w = settle(
-        F.when(flat, _sub(w, rf"({dots}{hesitation}{emoji})(?={WS}|$)", rf"$1{MARK}")).otherwise(_sub(w, rf"({dots}{emoji}){small}", rf"$1{MARK}"))
-    )
+    step(with_dot, dot + small, rf"$1{MARK}", (rf"{dot}(?={WS}|$)", rf"$1{MARK}"))
+    hesitation = r"(?iu:(?<!(?<![\p{L}\p{M}])(?:well|hm|hmm)))"
+    step(with_dots, rf"({dots()}{emoji}){small}", rf"$1{MARK}", (rf"({dots(hesitation)}{emoji})(?={WS}|$)", rf"$1{MARK}"))
     # ... and before closing quotes or brackets, if a sentence follows.
     cased = rf"(?={end}|{WS}++(?:[\p{{Lu}}\p{{N}}]|[{OPEN}]))"
-    w = settle(
-        F.when(flat, _sub(w, rf"([{CALM}][{CLOSE}]++{emoji})(?={WS}|$)|([{T}][{CLOSE}]++{emoji})(?={end}|{WS}++[{OPEN}])", rf"$1$2{MARK}"))
-        .otherwise(_sub(w, rf"([{T}][{CLOSE}]++{emoji}){cased}", rf"$1{MARK}"))
+    step(
+        closed,
+        rf"([{T}][{CLOSE}]++{emoji}){cased}",
+        rf"$1{MARK}",
+        (rf"([{CALM}][{CLOSE}]++{emoji})(?={WS}|$)|([{T}][{CLOSE}]++{emoji})(?={end}|{WS}++[{OPEN}])", rf"$1$2{MARK}"),
     )
-    w = _sub(w, rf"([{CALM}][{CLOSE}]++{emoji})(?={WS}++\p{{Lo}})", rf"$1{MARK}")
+    step(closed, rf"([{CALM}][{CLOSE}]++{emoji})(?={WS}++\p{{Lo}})", rf"$1{MARK}")
 
     # Marks without a space after them.
     prior = rf"(?<=[\p{{Ll}}\p{{N}}\p{{Lo}}\p{{M}}€%$£{CLOSE}])"
-    follows = rf"(?=\p{{Lu}}|[\ue040\ue041\ue044\ue045\ue04f\ue050]|&nbsp;\p{{Lu}})"
-    tight = rf"(?=[{T}{HS}]){prior}"
-    w = _sub(w, rf"({tight}(?:[{HS}]?{firm}|{single}|{dots}){emoji}){follows}", rf"$1{MARK}")
-    w = _sub(w, rf"((?=[{T}])(?<=[\p{{Lo}}\p{{M}}\p{{N}}])(?:[\ue012-\ue017]++|{single}){emoji})(?=[\p{{Lo}}&&[^{CJK}]])", rf"$1{MARK}")
-    w = _sub(w, rf"([{T}][{CLOSE}]++)(?=\p{{Lu}}[\p{{L}}{HS}])", rf"$1{MARK}")
+    follows = rf"(?={new}|&nbsp;\p{{Lu}})"
+    step(tight, rf"((?=[{T}{HS}]){prior}(?:[{HS}]?{firm}|{single}|{dots()}){emoji}){follows}", rf"$1{MARK}")
+    step(letter, rf"((?=[{T}])(?<=[\p{{Lo}}\p{{M}}\p{{N}}])(?:[\ue012-\ue017]++|{single}){emoji})(?=[\p{{Lo}}&&[^{CJK}]])", rf"$1{MARK}")
+    step(closed, rf"([{T}][{CLOSE}]++)(?=\p{{Lu}}[\p{{L}}{HS}])", rf"$1{MARK}")
 
     # Emoji in place of the mark.
-    w = settle(w)
     face = rf"([{EMO}](?<![{EMO}].)(?:[{EMO}{HS}]*[{EMO}])?+)"
-    w = settle(
-        F.when(flat, _sub(w, rf"{face}(?={WS}|$)", rf"$1{MARK}")).otherwise(
-            _sub(w, rf"{face}(?={end}|{WS}++[^\p{{Ll}}\s\p{{Z}}]|[\p{{Lu}}{CJK}])", rf"$1{MARK}")
-        )
-    )
+    step(with_emoji, rf"{face}(?={end}|{WS}++[^\p{{Ll}}\s\p{{Z}}]|[\p{{Lu}}{CJK}])", rf"$1{MARK}", (rf"{face}(?={WS}|$)", rf"$1{MARK}"))
 
     # Thai: spaces between Thai letters.
-    settle(_sub(w, rf"(?<=[{THAI}{ZERO}])({WS}++)(?=[{THAI}])", rf"$1{MARK}"))
-    return df.drop("_flat")
+    step(thai, rf"(?<=[{THAI}{ZERO}])({WS}++)(?=[{THAI}])", rf"$1{MARK}")
+    return df.drop(*flags, "_cut", "_closed", "_tight", "_letter")
 
 
 #: Pieces whose lengths are summed one by one; longer texts are summed by such blocks first.
@@ -208,8 +281,8 @@ def places(df: DataFrame, text: str, marked_text: str, out: str, sentence: bool
             F.split(marked_text, MARK, -1),
             lambda p: F.struct(
                 F.length(p).alias("n"),
-                (F.length(p) - F.length(F.regexp_replace(p, rf"^{WS}++", ""))).alias("lead"),
-                F.length(F.regexp_replace(p, rf"^{WS}++|{WS}++$", "")).alias("text"),
+                (F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))).alias("lead"),
+                F.length(F.trim(p, F.lit(BLANKS))).alias("text"),
             ),
         ),
     )
@@ -217,7 +290,9 @@ def places(df: DataFrame, text: str, marked_text: str, out: str, sentence: bool
     pieces = F.col("_pieces")
     cut = lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))
     numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
-    df = df.withColumn("_blocks", F.transform(F.transform(numbers, cut), lambda b: F.struct(b.alias("block"), total(b).alias("n"))))
+    short = F.size(pieces) <= BLOCK  # a text of one block needs no blocks
+    blocks = F.transform(F.transform(numbers, cut), lambda b: F.struct(b.alias("block"), total(b).alias("n")))
+    df = df.withColumn("_blocks", F.when(~short, blocks))
     df = df.withColumn("_sizes", F.transform("_blocks", lambda b: F.struct(b["n"].alias("n"))))
 
     def with_base(b: Column, i: Column) -> Column:
@@ -227,15 +302,17 @@ def places(df: DataFrame, text: str, marked_text: str, out: str, sentence: bool
 
     df = df.withColumn("_based", F.transform("_blocks", with_base))
 
-    def within(b: Column) -> Column:
+    def within(block: Column, base: Column, source: Column) -> Column:
         def place(p: Column, i: Column) -> Column:
-            start = total(F.slice(b["block"], F.lit(1), i)) + p["lead"]
-            own = [F.substring(b["own"], start + 1, p["text"]).alias("sentence")] if sentence else []
-            return F.struct((b["base"] + start).alias("start_pos"), (b["base"] + start + p["text"]).alias("end_pos"), *own)
+            start = total(F.slice(block, F.lit(1), i)) + p["lead"]
+            own = [F.substring(source, start + 1, p["text"]).alias("sentence")] if sentence else []
+            return F.struct((base + start).alias("start_pos"), (base + start + p["text"]).alias("end_pos"), *own)
 
-        return F.filter(F.transform(b["block"], place), lambda u: u["end_pos"] > u["start_pos"])
+        return F.filter(F.transform(block, place), lambda u: u["end_pos"] > u["start_pos"])
 
-    return df.withColumn(out, F.flatten(F.transform("_based", within))).drop("_pieces", "_blocks", "_sizes", "_based")
+    one = within(pieces, F.lit(0), F.col(text))
+    many = F.flatten(F.transform("_based", lambda b: within(b["block"], b["base"], b["own"] if sentence else F.lit(""))))
+    return df.withColumn(out, F.when(short, one).otherwise(many)).drop("_pieces", "_blocks", "_sizes", "_based")
 
 
 def sentences(df: DataFrame, id: str = "doc_id", text: str = "text", sentence: bool = True) -> DataFrame:

@@ -66,6 +66,58 @@ def test_held_dots_within_quotes_and_brackets(spark, case):
     assert [u[2] for u in units(spark, case.replace("|", ""))] == [p.strip() for p in case.split("|")]
 
 
+LONG = "a word or two " * 60
+
+
+@pytest.mark.parametrize("case", [
+    f"He said “Stop! {LONG}is long. Bye!” when I came. |Bye.",
+    f"The lid (it broke! {LONG}it is!) was wet. |Bye.",
+    f"Er rief „Halt! {LONG}kam er!“, als ich kam. |Gut.",
+    f"Pros:\n|1. {LONG}first\n|2. {LONG}second\n|11. third\n|112. last\n\n|Bye.",
+    "Pros:" + " " * 9 + "\n|1. one\n|2. two",
+    "嗯" + "…" * 40 + "开关能用。|真的" + "！" * 40 + "|好。",
+    "Well" + "." * 30 + " the app works. |Bye" + "." * 30 + " |Next.",
+    f"It is so{'!' * 90} |“Never{'!' * 90}” she said. |Bye.",
+])
+def test_no_length_changes_an_answer(spark, case):
+    assert [u[2] for u in units(spark, case.replace("|", ""))] == [p.strip() for p in case.split("|")]
+
+
+def test_recall_on_made_up_texts(spark):
+    """Texts put together from units of several languages that no given document holds: nearly all units are found."""
+    import random
+
+    rnd = random.Random(5)
+    words = {
+        "en": ("the otter crosses a frozen bridge", "nobody at the harbour saw it", "Dr. Quill paid 3.75 for it", "we met at 7 p.m. by the gate", "is the lantern lit", "she said “run! now!” and left"),
+        "de": ("der Otter überquert die Brücke", "niemand im Hafen sah ihn", "Dr. Quill zahlte 3,75 dafür", "wir kamen am 3. Mai zum Tor", "ist die Laterne an", "sie rief „lauf! jetzt!“ und ging"),
+        "es": ("la nutria cruza el puente", "nadie en el puerto la vio", "el Sr. Quill pagó 3,75", "llegamos a la puerta tarde", "está encendida la luz"),
+        "fr": ("la loutre traverse le pont", "personne au port ne l'a vue", "M. Quill a payé 3,75", "nous sommes venus à la porte"),
+        "ru": ("выдра идёт по мосту", "никто в порту её не видел", "это стоит 3,75 руб. за штуку", "мы пришли к воротам"),
+        "zh": ("水獭走过了桥", "港口没有人看见", "灯已经亮了", "我们在门口见面"),
+        "ja": ("カワウソが橋を渡った", "港では誰も見なかった", "灯りがついている"),
+        "hi": ("ऊदबिलाव पुल पार करता है", "बंदरगाह पर किसी ने नहीं देखा", "डॉ. क्विल ने पैसे दिए"),
+    }
+    texts, want = [], {}
+    for i in range(400):
+        lang = rnd.choice(sorted(words))
+        ends = {"zh": "。！？", "ja": "。！？", "hi": "।!?"}.get(lang, ".!?")
+        text, spots = "", []
+        for _ in range(rnd.randrange(1, 9)):
+            unit = rnd.choice(words[lang])
+            unit = unit[0].upper() + unit[1:] + rnd.choice(ends) + rnd.choice(("", "", "", " 🦦"))
+            spots.append((len(text), len(text) + len(unit)))
+            text += unit + ("" if lang in ("zh", "ja") else rnd.choice((" ", " ", "\n", "\n\n", "  ")))
+        texts.append((i, text))
+        want[i] = set(spots)
+    got = {i: set() for i in want}
+    for r in S.sentences(spark.createDataFrame(texts, "doc_id long, text string"), sentence=False).collect():
+        got[r.doc_id].add((r.start_pos, r.end_pos))
+    both = sum(len(got[i] & want[i]) for i in want)
+    recall, precision = both / sum(map(len, want.values())), both / sum(map(len, got.values()))
+    assert recall >= 0.99 and precision >= 0.99, (recall, precision)
+
+
 def test_every_character_lies_in_one_unit(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     seen = {i: [] for i in docs}
