@@ -11,6 +11,7 @@ enough of the passage in order and is that passage's own, for passages share phr
 
 from __future__ import annotations
 
+import hashlib
 import html
 import unicodedata
 from collections import Counter, defaultdict
@@ -23,29 +24,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import work_dir
 from .names import apart
 
 #: Words, or characters of Chinese and Japanese, of a stretch that counts.
 LEAST_WORDS, LEAST_CHARS = 12, 20
 #: Length of the n-grams that are looked up.
 GRAM_WORDS, GRAM_CHARS = 4, 6
-#: Places that a small edit leaves out of the passage, and foreign ones that it puts in.
+#: Places that a small edit leaves out of the passage, and foreign ones that it puts in; it may do both
+#: where both sides have OWN_SIDES n-grams of their own.
 SKIPPED, FOREIGN = 2, 3
 #: Foreign places where the passage goes on without a break, at most; an interruption falls
 #: between two sentences of the passage, or both sides have so many n-grams of their own.
 INTERRUPTION, OWN_SIDES = 120, 4
-#: Places of the passage that are replaced by as many others, at most, where both sides have so many n-grams of their own.
-REPLACED = 2
 #: Share of n-grams of no other passage that a stretch with edits must have, for passages
 #: share phrases, and texts may be built from such phrases without repeating a passage.
 OWN_SHARE = 0.2
-#: Characters of items that are sent to the executors at once; more go in several passes.
-BLOCK_CHARS = 32 << 20
+#: Characters of items that are sent to the executors at once, about 200 MB in each Python worker; more go in several passes.
+BLOCK_CHARS = 2 << 20
+#: Words whose mended form a worker remembers.
+REMEMBERED = 500_000
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々"
 _LETTER = rf"[[\p{{L}}\p{{M}}\p{{N}}]--[{_CJK}]]"
 _PIECE = regex.compile(
-    rf"(?P<control><\|[^|<>]{{1,40}}\|>|</?s>|\[/?INST\])|(?P<tag></?[A-Za-z][^<>]{{0,200}}>)"
+    rf"(?P<control><\|[^|<>]++\|>|</?s>|\[/?INST\])|(?P<tag></?[A-Za-z][^<>]*+>)"
     rf"|(?P<entity>&(?:\#\d{{1,7}}|\#x[0-9A-Fa-f]{{1,6}}|[A-Za-z]{{2,10}});)"
     rf"|(?P<word>{_LETTER}+(?:(?:[\p{{Cf}}'’ʼ]+|-\r?\n){_LETTER}+)*)|(?P<char>[{_CJK}])",
     regex.V1,
@@ -69,7 +72,7 @@ def _form(word: str) -> str:
         latin = sum("a" <= c <= "z" for c in w)
         if cyrillic and latin:
             w = w.translate(_TO_LATIN if latin >= cyrillic else _TO_CYRILLIC)
-        if len(_FORMS) > 500_000:
+        if len(_FORMS) > REMEMBERED:
             _FORMS.clear()
         found = _FORMS[word] = w
     return found
@@ -132,14 +135,31 @@ def _is_cjk(unit: str) -> bool:
     return len(unit) == 1 and unit > "\u2e7f" and _CHAR.match(unit) is not None
 
 
+def item_units(passage: str) -> tuple[list[str], list[tuple[int, int]], bool]:
+    """Units of a passage, their places, and whether it is taken by characters."""
+    words, spots = units(passage)
+    chars = sum(map(_is_cjk, words)) * 2 > len(words)
+    return (*digits(words, spots), True) if chars else (words, spots, False)
+
+
+def grams_of(words: list[str], chars: bool) -> Iterator[tuple]:
+    n = GRAM_CHARS if chars else GRAM_WORDS
+    return zip(*[words[s:] for s in range(n)])
+
+
+def code(gram: tuple) -> int:
+    """64 bits of an n-gram, the same in every process."""
+    return int.from_bytes(hashlib.blake2b("\0".join(gram).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _deletes(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 class Index:
-    """n-grams of a block of items; made once, sent to every executor."""
+    """n-grams of a block of items; made once, sent to every executor. elsewhere: codes of n-grams that items of other blocks have, too."""
 
-    def __init__(self, items: list[tuple]) -> None:
+    def __init__(self, items: list[tuple], elsewhere: frozenset[int] = frozenset()) -> None:
         self.ids: list = []
         self.chars: list[bool] = []
         self.breaks: list[set[int]] = []
@@ -147,31 +167,30 @@ class Index:
         self.units: list[list[str]] = []
         for id, text in items:
             text_of = passage(text or "")
-            words, spots = units(text_of)
-            chars = sum(map(_is_cjk, words)) * 2 > len(words)
-            if chars:
-                words, spots = digits(words, spots)
+            words, spots, chars = item_units(text_of)
             # Places of the passage at which a sentence of it has just ended.
             self.breaks.append({i for i in range(1, len(words)) if regex.search("[.!?。！？]", text_of[spots[i - 1][1] : spots[i][0]])})
             k = len(self.ids)
             self.ids.append(id)
             self.units.append(words)
             self.chars.append(chars)
-            n = GRAM_CHARS if chars else GRAM_WORDS
-            for j in range(len(words) - n + 1):
-                self.grams[tuple(words[j : j + n])].append((k, j))
+            for j, gram in enumerate(grams_of(words, chars)):
+                self.grams[gram].append((k, j))
         self.grams = dict(self.grams)
         self.has_chars = any(self.chars)
-        self.own = {g for g, at in self.grams.items() if len({k for k, _ in at}) == 1}
+        self.own = {g for g, at in self.grams.items() if len({k for k, _ in at}) == 1 and (not elsewhere or code(g) not in elsewhere)}
         self.known = {w for ws in self.units for w in ws}
-        self.near: dict[str, str] = {}
+        #: Neighbours within a passage, which choose among words that a misspelt one may stand for.
+        self.pairs = {p for ws in self.units for p in zip(ws, ws[1:])}
+        self.near: dict[str, tuple[str, ...]] = {}
         for w in sorted(self.known):
             if len(w) >= 4 and not w.isdigit():
                 for d in _deletes(w):
-                    self.near.setdefault(d, w)
+                    self.near[d] = (*self.near.get(d, ()), w)
+        self.mended: dict[str, str | tuple[str, ...]] = {}
 
-    def mend(self, word: str) -> str:
-        """A word of the items that looks alike, or differs by one letter left out, put in, replaced or swapped."""
+    def _mend(self, word: str) -> str | tuple[str, ...]:
+        """The word, or those words of the items that it looks like or differs from by one letter left out, put in, replaced or swapped."""
         if word in self.known or word.isdigit():
             return word
         for table in (_TO_LATIN, _TO_CYRILLIC):
@@ -179,25 +198,40 @@ class Index:
                 return alike
         if len(word) < 4:
             return word
-        if word in self.near:
-            return self.near[word]
-        for d in _deletes(word):
+        found = dict.fromkeys(self.near.get(word, ()))
+        for d in sorted(_deletes(word)):
             if d in self.known and len(d) >= 4:
-                return d
-            if d in self.near and _one_edit(word, self.near[d]):
-                return self.near[d]
-        return word
+                found[d] = None
+            found |= dict.fromkeys(w for w in self.near.get(d, ()) if _one_edit(word, w))
+        return word if not found else next(iter(found)) if len(found) == 1 else tuple(found)
+
+    def mend(self, words: list[str]) -> list[str]:
+        """The words, with those that are none of the items' read as what they most likely stand for, before anything is looked up."""
+        known = self.mended
+        out = [known.get(w) for w in words]
+        if None in out:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self._mend(w)
+            out = [known[w] for w in words]
+        if tuple in map(type, out):
+            for i, found in enumerate(out):
+                if type(found) is tuple:  # the one that stands beside the same word in a passage
+                    near = out[i - 1 : i] + out[i + 1 : i + 2]
+                    fits = (c for c in found if any((n, c) in self.pairs or (c, n) in self.pairs for n in near if type(n) is str))
+                    out[i] = next(fits, found[0])
+        return out
 
     def touches(self, words: list[str], chars: bool) -> bool:
         """Whether any window of the words is an n-gram of a passage."""
-        n = GRAM_CHARS if chars else GRAM_WORDS
-        return not self.grams.keys().isdisjoint(zip(*[words[s:] for s in range(n)]))
+        return not self.grams.keys().isdisjoint(grams_of(words, chars))
 
     def hits(self, words: list[str], chars: bool) -> dict[int, list[tuple[int, int, bool]]]:
         """By item, (place in the text, place in the passage, whether the n-gram is its own)."""
         out: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
-        n = GRAM_CHARS if chars else GRAM_WORDS
-        for i, gram in enumerate(zip(*[words[s:] for s in range(n)])):
+        for i, gram in enumerate(grams_of(words, chars)):
             if gram in self.grams:
                 own = gram in self.own
                 for k, j in self.grams[gram]:
@@ -239,7 +273,7 @@ def _bridges(words: list[str], theirs: list[str], between: bool, own: int) -> bo
         a, b = words[0], theirs[0]
         if min(len(a), len(b)) >= 5 and _deletes(a) & _deletes(b):
             return True
-    if foreign == skipped <= REPLACED and own >= OWN_SIDES:
+    if skipped <= SKIPPED and foreign <= FOREIGN and own >= OWN_SIDES:
         return True
     if foreign > 4 or skipped > 4:
         return False
@@ -313,9 +347,9 @@ def _accepted(index: Index, words: list[str], k: int, hits: list[tuple[int, int,
 
 
 def _find(index: Index, words: list[str], spots: list[tuple[int, int]], chars: bool, every: bool) -> list[tuple]:
+    words = index.mend(words)
     if not index.touches(words, chars):
         return []
-    words = [index.mend(w) for w in words]
     out = []
     for k, hits in index.hits(words, chars).items():
         if index.chars[k] == chars:
@@ -328,7 +362,7 @@ def find(index: Index, text: str | None, every: bool = True) -> list[tuple]:
     if not text:
         return []
     quick = plain_units(text)
-    if quick is not None and not index.touches(quick, False):
+    if quick is not None and not index.touches(index.mend(quick), False):
         if not index.has_chars or not any(map(_is_cjk, quick)) or not index.touches(digits(quick, [(0, 0)] * len(quick))[0], True):
             return []
     words, spots = units(text)
@@ -338,21 +372,49 @@ def find(index: Index, text: str | None, every: bool = True) -> list[tuple]:
     return out
 
 
+def _shared(items: DataFrame, text: str) -> DataFrame:
+    """code of each n-gram that several rows of items have, written to the shared folder."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c for t in batch.column(0).to_pylist() for words, _, chars in [item_units(passage(t))] for c in set(map(code, grams_of(words, chars)))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["code"])
+
+    path = f"{work_dir(items.sparkSession, 'grams')}/shared"
+    found = items.select(text).where(F.col(text).isNotNull()).mapInArrow(codes, "code long")
+    found.groupBy("code").count().where("count > 1").select("code").write.parquet(path)
+    return items.sparkSession.read.parquet(path)
+
+
 def blocks(items: DataFrame, id: str, text: str, most: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of the items, each of at most `most` characters of text, or one item.
 
-    The items come to the driver one partition at a time and are held a block at a time.
+    The items come to the driver one partition at a time and are held a block at a time. An
+    n-gram is a passage's own if no other item has it, whichever block that lies in: where
+    there are several blocks, n-grams of several items are told by a job before, and the driver
+    gets those that its block has.
     """
+    rows = items.select(F.col(id), F.col(text)).where(F.col(id).isNotNull() & F.col(text).isNotNull())
+    several = (rows.agg(F.sum(F.length(text))).first()[0] or 0) > most
+    shared = _shared(rows, text) if several else None
+
+    def index(held: list[tuple]) -> Index:
+        if shared is None:
+            return Index(held)
+        codes = {code(g) for _, t in held for words, _, chars in [item_units(passage(t))] for g in grams_of(words, chars)}
+        here = shared.sparkSession.createDataFrame([(c,) for c in codes], "code long")
+        return Index(held, frozenset(r.code for r in here.join(shared, "code", "left_semi").collect()))
+
     held: list[tuple] = []
     size = 0
-    for row in items.select(F.col(id), F.col(text)).where(F.col(id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for row in rows.toLocalIterator():
         if held and size + len(row[1]) > most:
-            yield Index(held)
+            yield index(held)
             held, size = [], 0
         held.append((row[0], row[1]))
         size += len(row[1])
     if held:
-        yield Index(held)
+        yield index(held)
 
 
 def leaks(
@@ -365,8 +427,7 @@ def leaks(
     in code points, its end exclusive; size counts the words, or characters, of the passage
     that the stretch spans. Stretches may overlap, none lies within another of its item. Items beyond block_chars are
     taken in several passes over the texts, so that what is sent to the executors stays
-    bounded; a pass has no shuffle. Whether an n-gram is a passage's own is told within a
-    block. Null and empty texts and items give no rows, items of fewer than three lines have
+    bounded; a pass has no shuffle, and the number of passes changes no answer. Null and empty texts and items give no rows, items of fewer than three lines have
     no passage, repeated rows give their rows again, other columns are not read.
     """
     apart([id, item_id], ("start_pos", "end_pos", "size"))
