@@ -41,6 +41,22 @@ def test_state_goes_on(spark, folder):
     assert answers(S.classify(spark, h, i, at=at)) == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_each_batch_emits_answers_and_later_files_may_be_earlier_records(spark, folder):
+    h, i = write(spark, folder, [b"a"], [(10, b"a"), (11, b"b"), (12, b"b"), (13, b"d")])
+    at = f"{folder}/state"
+    assert answers(S.classify(spark, h, i, at=at, partitions=2)) == {10: True, 11: False, 12: True, 13: False}
+    emitted = spark.read.schema(S.ANSWERS).parquet(f"{at}/answers/*")
+    # Records are told in a micro-batch of their own, after that of history.
+    assert {r.batch: r.n for r in spark.read.parquet(f"{at}/answers").where("rec_id > 0").groupBy("batch").count().withColumnRenamed("count", "n").collect()} == {1: 4}
+    assert {r.rec_id for r in emitted.where("is_repeat").collect()} == {10, 12}
+    # A record with a smaller id, and history, for keys that were told before.
+    write(spark, folder, [b"d"], [(5, b"b"), (14, b"d")])
+    assert answers(S.classify(spark, h, i, at=at)) == {5: False, 10: True, 11: True, 12: True, 13: True, 14: True}
+    import os
+
+    assert len([n for n in os.listdir(f"{at.removeprefix('file://')}/checkpoint/state/0") if n.isdecimal()]) == 2  # state partitions
+
+
 def test_empty_and_settings(spark, folder):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     h, i = write(spark, folder, [], [])
