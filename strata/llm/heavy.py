@@ -30,7 +30,7 @@ PHI = 0.01
 DEPTH = 4
 WIDTH = 2048
 BITS = 32
-#: Most candidates that are sent to every executor; DEPTH / PHI is 400.
+#: Most candidates that are sent to every executor; a group has DEPTH / PHI, 400, at most. More are joined by a shuffle.
 MAX_BROADCAST = 10_000
 
 
@@ -94,8 +94,10 @@ def frequent(df: DataFrame, key: str, group: str, phi: float = PHI, depth: int =
     apart([group, key], ("n", "approx", "n_rows", "at_most", "_g", "_c", "_h"))
     found = candidates(sketch(df, key, group, depth, width), group, phi, width)
     c = found.select(F.col(group).alias("_g"), F.col("_h").alias("_c"), "n_rows", "at_most")
-    if depth / phi <= MAX_BROADCAST:  # the bound of the candidates of a group
-        c = F.broadcast(c)
+    # A group has depth / phi candidates at most, but there may be many groups: sent if all are few.
+    few = c.limit(MAX_BROADCAST + 1).collect()
+    if len(few) <= MAX_BROADCAST:
+        c = F.broadcast(df.sparkSession.createDataFrame(few, c.schema))
     rows = df.where(F.col(key).isNotNull()).select(group, key, fingerprint(F.col(key)).alias("_h"))
     hits = rows.join(c, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_c")))
     counted = hits.groupBy(group, key).agg(F.count(F.lit(1)).alias("n"), F.max("at_most").alias("approx"), F.max("n_rows").alias("n_rows"))

@@ -6,6 +6,8 @@ themselves; no value is clipped. A digest is a set of counted nodes of the binar
 the codes. Compression moves a pair of siblings into the parent while pair and parent
 together weigh at most n / k; digests merge by adding the counts of equal nodes.
 
+Each map task compresses what it has before the shuffle, then the sums are compressed again.
+
 Bound, deterministic: a node above the leaves weighs at most n / k, a leaf lies below 17
 nodes, so the rank of every answer is wrong by at most 17 * floor(n / k) <= eps * n, also
 after any merges. A digest has at most 3 * k nodes.
@@ -13,7 +15,7 @@ after any merges. A digest has at most 3 * k nodes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import numpy as np
@@ -33,6 +35,8 @@ ZERO = 1 << (DEPTH - 1)
 #: Greatest rank error as a share of n.
 EPS = 0.005
 PERCENTILES = (0.5, 0.9, 0.99)
+#: Leaves that a map task holds.
+HELD = 1 << 20
 
 
 def _shape(eps: float) -> int:
@@ -57,14 +61,49 @@ def dequantize(code: Column) -> Column:
     return F.when(code < ZERO, -a).otherwise(a)
 
 
-def histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """groups, node, n: counts of the leaves. Null values are left out; null groups are groups.
+def partials(df: DataFrame, value: str, groups: Sequence[str], eps: float = EPS) -> DataFrame:
+    """groups, node, n: digests of each map task, before any shuffle. Null values are left out; null groups are groups.
 
-    Counted in each map task before the shuffle; a group has at most 2**17 rows.
+    A task counts leaves as its rows come and, when HELD of them are held or the rows end,
+    compresses those of each group, so a group sends at most 3 * k nodes each time, and a
+    hot group costs no more than any other.
     """
     apart(groups, ("node", "n"))
-    rows = df.where(F.col(value).isNotNull()).select(*groups, (quantize(F.col(value)) + (1 << DEPTH)).cast("int").alias("node"))
-    return rows.groupBy(*groups, "node").agg(F.count(F.lit(1)).alias("n"))
+    k, names = _shape(eps), list(groups)
+    rows = df.where(F.col(value).isNotNull()).select(*names, (quantize(F.col(value)) + (1 << DEPTH)).cast("int").alias("node"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by([*names, "node"]).aggregate([("n", "sum")]).rename_columns([*names, "node", "n"])
+
+    def compressed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # With no groups, all rows are one.
+        cells = table.group_by(names).aggregate([("node", "list"), ("n", "list")])
+        node, n = (cells[c].combine_chunks() for c in ("node_list", "n_list"))
+        nodes, counts, bounds = node.values.to_numpy(), n.values.to_numpy(), node.offsets.to_numpy()
+        parts = [compress_nodes(nodes[a:b].astype(np.int64), counts[a:b], k) for a, b in zip(bounds, bounds[1:])]
+        at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts]))
+        out = {g: cells[g].take(at) for g in names}
+        out |= {"node": pa.array(np.concatenate([p for p, _ in parts]), pa.int32()), "n": pa.array(np.concatenate([c for _, c in parts]), pa.int64())}
+        yield from pa.table(out).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            ones = pa.Table.from_batches([batch]).append_column("n", pa.array(np.ones(batch.num_rows, np.int64)))
+            if batch.num_rows:
+                held.append(added([ones]))
+                size += held[-1].num_rows
+            if size > HELD:
+                held = [added(held)]
+                if (size := held[0].num_rows) > HELD // 2:
+                    yield from compressed(held[0])
+                    held, size = [], 0
+        if held:
+            yield from compressed(added(held))
+
+    return rows.mapInArrow(run, schema)
 
 
 def compress_nodes(node: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +155,7 @@ def merge(nodes: DataFrame, groups: Sequence[str], eps: float = EPS) -> DataFram
 
 def digests(df: DataFrame, value: str, groups: Sequence[str], eps: float = EPS) -> DataFrame:
     """groups, node, n: the digest of each group of df, the mergeable partial result."""
-    return compress(histogram(df, value, groups), groups, eps)
+    return merge(partials(df, value, groups, eps), groups, eps)
 
 
 def cube(nodes: DataFrame, groups: Sequence[str], never_null: Sequence[str] = (), eps: float = EPS) -> DataFrame:

@@ -53,12 +53,29 @@ def p1_registers(spark, d):
 
 
 def p1_error_check(spark, d):
-    """Exact distinct keys per day, and whether the estimate lies within four standard errors."""
-    rows = telemetry(spark, d, "key").where("day IS NOT NULL")
-    est = distinct.estimate(distinct.registers(rows, "key", ["day"]), ["day"])
-    exact = rows.select("day", "key").distinct().groupBy("day").agg(F.count("key").alias("n_exact"))
-    ok = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * distinct.standard_error() * F.col("n_exact") + 0.5
-    return exact.join(est, "day").select("day", "n_exact", ok.alias("in_bound"))
+    """Of each combination of day, type and stage, how many groups have their exact count within two standard errors."""
+    rows = telemetry(spark, d, "key")
+    est = distinct.estimate(distinct.cube(distinct.registers(rows, "key", GROUPS, hash="md5"), GROUPS, ("day",)), (*GROUPS, *BY))
+    exact = _cube(rows.distinct(), "key").groupBy(*GROUPS, *BY).agg(F.count("key").alias("n_exact"))
+    both = _beside(est, exact)
+    inside = F.col("n_exact").between(F.col("low"), F.col("high"))
+    return both.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(inside, 1)).alias("n_inside"))
+
+
+def _cube(rows, *columns):
+    """Distinct values of columns in every combination of the groups, with n, the rows, and by_<group>; a null day is no group."""
+    sets = [[*(g for i, g in enumerate(GROUPS) if mask >> i & 1), *columns] for mask in range(1 << len(GROUPS))]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*GROUPS, *columns)])
+    out = out.agg(F.sum("n") if "n" in rows.columns else F.count(F.lit(1)), *[(F.grouping(g) == 0).alias(b) for g, b in zip(GROUPS, BY)])
+    return out.toDF(*GROUPS, *columns, "n", *BY).where("NOT by_day OR day IS NOT NULL")
+
+
+def _beside(a, b):
+    """Rows of a and b of the same group; groups may be null."""
+    names = (*GROUPS, *BY)
+    b = b.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in b.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return a.join(b, on).drop(*[f"_{c}" for c in names])
 
 
 def _keys(spark, d):
@@ -111,20 +128,26 @@ def p5_digests(spark, d):
 
 
 def p5_rank_check(spark, d):
-    """Whether the answers of p5_percentiles for types keep their bound, against the exact ranks of the data."""
+    """Whether each answer of p5_percentiles, of every combination, keeps its bound against the ranks of the values as they stand.
+
+    An answer stands for the values of its code: itself below 2,048, at most a 1,024th more beyond.
+    """
+    q = p5_percentiles(spark, d)
     rows = telemetry(spark, d, "duration_ms").where("duration_ms IS NOT NULL")
-    cells = quantiles.digests(rows, "duration_ms", GROUPS)
-    q = quantiles.quantiles(quantiles.merge(cells, ("type",)), ("type",))
-    exact = rows.groupBy(F.col("type").alias("_type"), quantiles.quantize(F.col("duration_ms")).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-    wide = exact.join(F.broadcast(q), F.col("_type").eqNullSafe(F.col("type")))  # one row per type
-    below = [F.sum(F.when(F.col("code") <= quantiles.quantize(F.col(p)), F.col("c")).otherwise(0)).alias(f"to_{p}") for p in ("p50", "p90", "p99")]
-    under = [F.sum(F.when(F.col("code") < quantiles.quantize(F.col(p)), F.col("c")).otherwise(0)).alias(f"under_{p}") for p in ("p50", "p90", "p99")]
-    ranks = wide.groupBy("type", "n", "max_rank_error").agg(*below, *under)
+    exact = _cube(rows.groupBy(*GROUPS, "duration_ms").agg(F.count(F.lit(1)).alias("n")), "duration_ms").withColumnRenamed("n", "c")
+    wide = _beside(exact, q)
+    shares = (("p50", "0.5"), ("p90", "0.9"), ("p99", "0.99"))
+    v, sums = F.col("duration_ms"), []
+    for p, _ in shares:
+        more = F.expr(f"IF(abs({p}) < 2048, 0, abs({p}) div 1024)")
+        low, high = F.when(F.col(p) < 0, F.col(p) - more).otherwise(F.col(p)), F.when(F.col(p) < 0, F.col(p)).otherwise(F.col(p) + more)
+        sums += [F.sum(F.when(v <= high, F.col("c")).otherwise(0)).alias(f"to_{p}"), F.sum(F.when(v < low, F.col("c")).otherwise(0)).alias(f"under_{p}")]
+    ranks = wide.groupBy(*GROUPS, *BY, "n", "max_rank_error").agg(*sums)
     ok = F.lit(True)
-    for p, share in (("p50", "0.5"), ("p90", "0.9"), ("p99", "0.99")):
+    for p, share in shares:
         target = F.ceil(F.lit(Decimal(share)) * F.col("n"))
         ok = ok & (F.col(f"to_{p}") >= target) & (F.col(f"under_{p}") <= target + F.col("max_rank_error"))
-    return ranks.select("type", "n", ok.alias("in_bound"))
+    return ranks.select(*GROUPS, *BY, "n", ok.alias("in_bound"))
 
 
 def p6_ids(spark, d):
@@ -190,26 +213,96 @@ _CELLS = f"""h AS (SELECT CAST(time AS DATE) AS day, type, stage, CASE WHEN key
 cells AS (SELECT day, type, stage, h >> {_REST} AS bucket, CASE WHEN h IS NULL THEN 0 WHEN h % {1 << _REST} = 0 THEN {_REST + 1} ELSE {_REST + 1} - length(ltrim(bin(h % {1 << _REST}), '0')) END AS rank FROM h)"""
 
 
-def _estimate_sql(source: str, columns: str) -> str:
+def _estimate_sql(source: str, columns: str, then: str = "SELECT * FROM answer") -> str:
     return f"""state AS (SELECT {columns}, sum(CASE WHEN bucket IS NOT NULL THEN pow(2.0, -rank) END) AS s, count(bucket) AS used FROM {source} GROUP BY ALL),
-est AS (SELECT {columns}, CAST(CASE WHEN used = 0 THEN 0 ELSE round({_M}::DOUBLE * {_M} / (2 * ln(2)) / (s + {_M} * ({_SIGMA}))) END AS BIGINT) AS n_distinct FROM (SELECT *, 1.0::DOUBLE - used / {_M}::DOUBLE AS x FROM state) q)
-SELECT {columns}, n_distinct, {round(_E, 6)}::DOUBLE AS rel_std_error, CAST(floor(n_distinct * {1 - 2 * _E!r}::DOUBLE) AS BIGINT) AS low, CAST(ceil(n_distinct * {1 + 2 * _E!r}::DOUBLE) AS BIGINT) AS high FROM est"""
+est AS (SELECT {columns}, CAST(CASE WHEN used = 0 THEN 0 ELSE round({_M}::DOUBLE * {_M} / (2 * ln(2)) / (s + {_M} * ({_SIGMA}))) END AS BIGINT) AS n_distinct FROM (SELECT *, 1.0::DOUBLE - used / {_M}::DOUBLE AS x FROM state) q),
+answer AS (SELECT {columns}, n_distinct, {round(_E, 6)}::DOUBLE AS rel_std_error, CAST(floor(n_distinct * {1 - 2 * _E!r}::DOUBLE) AS BIGINT) AS low, CAST(ceil(n_distinct * {1 + 2 * _E!r}::DOUBLE) AS BIGINT) AS high FROM est)
+{then}"""
 
 
 _BY_SQL = ", ".join(f"grouping({g}) = 0 AS by_{g}" for g in GROUPS)
 
+_SETS = f"""{_CELLS},
+sets AS (SELECT day, type, stage, bucket, max(rank) AS rank, {_BY_SQL} FROM cells GROUP BY CUBE (day, type, stage), bucket),
+kept AS (SELECT * FROM sets WHERE NOT by_day OR day IS NOT NULL)"""
+_GROUPS_SQL = "day, type, stage, by_day, by_type, by_stage"
+#: A value over every combination of the groups.
+_CUBE = "SELECT * FROM (SELECT day, type, stage, {value} AS n, " + _BY_SQL + " FROM (SELECT *, CAST(time AS DATE) AS day FROM telemetry_event) e {where} GROUP BY CUBE (day, type, stage)) c WHERE NOT by_day OR day IS NOT NULL"
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM x.{c}" for c in _GROUPS_SQL.split(", "))
+
+_KEYS = "keys AS (SELECT 'telemetry_event' AS table_name, encode(key) AS key FROM telemetry_event WHERE key IS NOT NULL UNION ALL SELECT 'change_log', key FROM change_log WHERE key IS NOT NULL)"
+_HEAVY = f"WITH {_KEYS}, c AS (SELECT table_name, key, count(*) AS n FROM keys GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY table_name) AS n_rows FROM c)"
+
+_FIRST = "first AS (SELECT key, min(ord) AS ord FROM (SELECT key, CAST(-1 AS BIGINT) AS ord FROM change_log UNION ALL SELECT key, rec_id FROM incoming_record) u WHERE key IS NOT NULL GROUP BY key)"
+
+SQL: dict[str, str] = {
+    "p1_error_check": f"""WITH {_SETS},
+exact AS ({_CUBE.format(value="count(DISTINCT key)", where="")}),
+{_estimate_sql("kept", _GROUPS_SQL, f"SELECT by_day, by_type, by_stage, count(*) AS n_groups, count(*) FILTER (WHERE n BETWEEN low AND high) AS n_inside FROM (SELECT a.*, x.n FROM answer a JOIN exact x ON {_SAME}) j GROUP BY ALL")}""",
+    "p2_found": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex FROM t WHERE n * 100 >= n_rows",
+    "p2_heavy_counts": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex, n, CAST(n_rows AS BIGINT) AS n_rows, TRUE AS approx_is_bound FROM t WHERE n * 100 >= n_rows",
+    "p4_found": f"WITH {_FIRST} SELECT r.rec_id FROM incoming_record r JOIN first f ON r.key = f.key WHERE f.ord < r.rec_id",
+    "p4_wrong_rate": f"WITH {_FIRST} SELECT count(*) AS n_records, count(*) FILTER (WHERE f.ord < r.rec_id) AS n_repeats, CAST(0 AS BIGINT) AS n_wrong, 0.0::DOUBLE AS wrong_rate FROM incoming_record r JOIN first f ON r.key = f.key",
+    "p5_rank_check": f"SELECT *, TRUE AS in_bound FROM ({_CUBE.format(value='count(duration_ms)', where='WHERE duration_ms IS NOT NULL')}) q",
+    "p1_distinct_portable": f"WITH {_SETS}, {_estimate_sql('kept', _GROUPS_SQL)}",
+    "p1_registers": p1_registers,
+    "p1_error_check": p1_error_check,
+    "p2_found": p2_found,
+    "p2_heavy_counts": p2_heavy_counts,
+    "p2_approximate_counts": p2_approximate_counts,
+    "p4_found": p4_found,
+    "p4_wrong_rate": p4_wrong_rate,
+    "p5_percentiles": p5_percentiles,
+    "p5_digests": p5_digests,
+    "p5_rank_check": p5_rank_check,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+    "p7_clean": p7_clean,
+    "p8_found": p8_found,
+    "p8_sentences": p8_sentences,
+}
+
+_REST = distinct.BITS - distinct.P
+_M = 1 << distinct.P
+_SIGMA = "x + " + " + ".join(f"pow(x, {float(1 << k)}) * {float(1 << (k - 1))}" for k in range(1, distinct.TERMS))
+_E = distinct.standard_error()
+#: Registers of the finest groups, as rows of day, type, stage, bucket, rank.
+_CELLS = f"""h AS (SELECT CAST(time AS DATE) AS day, type, stage, CASE WHEN key IS NOT NULL THEN CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) END AS h FROM telemetry_event),
+cells AS (SELECT day, type, stage, h >> {_REST} AS bucket, CASE WHEN h IS NULL THEN 0 WHEN h % {1 << _REST} = 0 THEN {_REST + 1} ELSE {_REST + 1} - length(ltrim(bin(h % {1 << _REST}), '0')) END AS rank FROM h)"""
+
+
+def _estimate_sql(source: str, columns: str, then: str = "SELECT * FROM answer") -> str:
+    return f"""state AS (SELECT {columns}, sum(CASE WHEN bucket IS NOT NULL THEN pow(2.0, -rank) END) AS s, count(bucket) AS used FROM {source} GROUP BY ALL),
+est AS (SELECT {columns}, CAST(CASE WHEN used = 0 THEN 0 ELSE round({_M}::DOUBLE * {_M} / (2 * ln(2)) / (s + {_M} * ({_SIGMA}))) END AS BIGINT) AS n_distinct FROM (SELECT *, 1.0::DOUBLE - used / {_M}::DOUBLE AS x FROM state) q),
+answer AS (SELECT {columns}, n_distinct, {round(_E, 6)}::DOUBLE AS rel_std_error, CAST(floor(n_distinct * {1 - 2 * _E!r}::DOUBLE) AS BIGINT) AS low, CAST(ceil(n_distinct * {1 + 2 * _E!r}::DOUBLE) AS BIGINT) AS high FROM est)
+{then}"""
+
+
+_BY_SQL = ", ".join(f"grouping({g}) = 0 AS by_{g}" for g in GROUPS)
+
+_SETS = f"""{_CELLS},
+sets AS (SELECT day, type, stage, bucket, max(rank) AS rank, {_BY_SQL} FROM cells GROUP BY CUBE (day, type, stage), bucket),
+kept AS (SELECT * FROM sets WHERE NOT by_day OR day IS NOT NULL)"""
+_GROUPS_SQL = "day, type, stage, by_day, by_type, by_stage"
+#: A value over every combination of the groups.
+_CUBE = "SELECT * FROM (SELECT day, type, stage, {value} AS n, " + _BY_SQL + " FROM (SELECT *, CAST(time AS DATE) AS day FROM telemetry_event) e {where} GROUP BY CUBE (day, type, stage)) c WHERE NOT by_day OR day IS NOT NULL"
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM x.{c}" for c in _GROUPS_SQL.split(", "))
+
 _KEYS = "keys AS (SELECT 'telemetry_event' AS table_name, encode(key) AS key FROM telemetry_event WHERE key IS NOT NULL UNION ALL SELECT 'change_log', key FROM change_log WHERE key IS NOT NULL)"
 _HEAVY = f"WITH {_KEYS}, c AS (SELECT table_name, key, count(*) AS n FROM keys GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY table_name) AS n_rows FROM c)"
 
 _FIRST = "first AS (SELECT key, min(ord) AS ord FROM (SELECT key, CAST(-1 AS BIGINT) AS ord FROM change_log UNION ALL SELECT key, rec_id FROM incoming_record) u WHERE key IS NOT NULL GROUP BY key)"
 
 SQL: dict[str, str] = {
-    "p1_error_check": "SELECT CAST(time AS DATE) AS day, count(DISTINCT key) AS n_exact, TRUE AS in_bound FROM telemetry_event WHERE time IS NOT NULL GROUP BY ALL",
+    "p1_error_check": f"""WITH {_SETS},
+exact AS ({_CUBE.format(value="count(DISTINCT key)", where="")}),
+{_estimate_sql("kept", _GROUPS_SQL, f"SELECT by_day, by_type, by_stage, count(*) AS n_groups, count(*) FILTER (WHERE n BETWEEN low AND high) AS n_inside FROM (SELECT a.*, x.n FROM answer a JOIN exact x ON {_SAME}) j GROUP BY ALL")}""",
     "p2_found": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex FROM t WHERE n * 100 >= n_rows",
     "p2_heavy_counts": f"{_HEAVY} SELECT table_name, upper(hex(key)) AS key_hex, n, CAST(n_rows AS BIGINT) AS n_rows, TRUE AS approx_is_bound FROM t WHERE n * 100 >= n_rows",
     "p4_found": f"WITH {_FIRST} SELECT r.rec_id FROM incoming_record r JOIN first f ON r.key = f.key WHERE f.ord < r.rec_id",
     "p4_wrong_rate": f"WITH {_FIRST} SELECT count(*) AS n_records, count(*) FILTER (WHERE f.ord < r.rec_id) AS n_repeats, CAST(0 AS BIGINT) AS n_wrong, 0.0::DOUBLE AS wrong_rate FROM incoming_record r JOIN first f ON r.key = f.key",
-    "p5_rank_check": "SELECT type, count(duration_ms) AS n, TRUE AS in_bound FROM telemetry_event WHERE duration_ms IS NOT NULL GROUP BY type",
+    "p5_rank_check": f"SELECT *, TRUE AS in_bound FROM ({_CUBE.format(value='count(duration_ms)', where='WHERE duration_ms IS NOT NULL')}) q",
     "p1_distinct_portable": f"""WITH {_CELLS},
 sets AS (SELECT day, type, stage, bucket, max(rank) AS rank, {_BY_SQL} FROM cells GROUP BY CUBE (day, type, stage), bucket),
 kept AS (SELECT * FROM sets WHERE NOT by_day OR day IS NOT NULL),
