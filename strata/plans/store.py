@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.fold import fold, is_put
+from ..operators.fold import fold, is_put, newest
 from ..operators.lookup import sparse_index
 from ..schema import CHANGE, Options
 from ..sources import manifest as M
-from ..sources.runs import PARTITION, ddl, read_runs, verify_pages, write_run
+from ..sources.runs import PARTITION, ddl, prepare, read_runs, write_run
 from ..sources.shared import Fs
 from ..telemetry import Telemetry
 
@@ -64,12 +64,12 @@ class Store:
         """Open or create a store (MT10). schema has key, ts, seq, is_deleted and any further columns.
 
         Files that the manifest does not name are ignored (a torn batch, leftovers of
-        a failed write); a damaged manifest raises.
+        a failed write); a damaged manifest raises. Sets how the session reads runs, see runs.prepare.
         """
         if not path:
             raise ValueError("a store needs a path")
         options = options or Options()
-        verify_pages(spark)
+        prepare(spark)
         fs = Fs(spark, path)
         began = time.monotonic()
         state = M.load(fs)
@@ -397,9 +397,17 @@ class Store:
         return out if out is not None else self.spark.createDataFrame([], self.schema)
 
     def latest(self) -> DataFrame:
-        """The valid change of every key, tombstones included. Over runs alone it shuffles nothing."""
+        """The valid change of every key, tombstones included. Over runs alone it shuffles nothing.
+
+        A run has a row for each key, so one run is read as it is, and two are merged as they
+        stream by, each in its order. More runs, or a log, are folded.
+        """
         self._check()
-        return fold(self._rows())
+        runs = self._m.runs
+        if self._m.pending() or not 1 <= len(runs) <= 2:
+            return fold(self._rows())
+        scans = [self._scan([r]).drop(PARTITION) for r in runs]
+        return scans[0] if len(scans) == 1 else newest(*scans)
 
     def state(self) -> DataFrame:
         """The live keys with their values (LK6)."""

@@ -299,6 +299,20 @@ def test_merge_on_read_has_no_shuffle(spark, folder):
     assert state(s) == {b"k": b"3"}
 
 
+def test_two_runs_are_merged_as_they_stream_by(spark, folder):
+    s = Store.open(spark, folder, Options(memtable_threshold=0, fanout=9, buckets=2))
+    rows = lambda *r: spark.createDataFrame(list(r), "key binary, value binary, ts long, is_deleted boolean")
+    s.apply(rows((b"a", b"1", 5, False), (b"b", b"1", None, False), (b"c", b"1", 1, False), (b"", b"1", 1, False)))
+    s.flush()
+    assert "Aggregate" not in s.latest()._jdf.queryExecution().executedPlan().toString()
+    s.apply(rows((b"a", b"late", 4, False), (b"b", b"2", 1, False), (b"c", None, 1, True), (b"d", None, 7, False)))
+    s.flush()
+    plan = s.state()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert state(s) == {b"a": b"1", b"b": b"2", b"": b"1", b"d": None}
+    assert s.latest().columns == s.schema.fieldNames() and s.latest().count() == 5
+
+
 def test_index_manifest_and_telemetry(spark, folder):
     s = Store.open(spark, folder, Options(memtable_threshold=0, sparse_index_gap=10, buckets=2))
     put(s, *[(b"k%02d" % i, b"v") for i in range(25)])
