@@ -110,14 +110,6 @@ def units(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return out, spots
 
 
-def plain_units(text: str) -> list[str] | None:
-    """The words of units, without places and in less time; None for texts with markup."""
-    if "<" in text or "&" in text or "[" in text:
-        return None
-    known = _FORMS
-    return [f for w in _WORDS.findall(text) if (f := known[w] if w in known else _form(w))]
-
-
 def digits(words: list[str], spots: list[tuple[int, int]]) -> tuple[list[str], list[tuple[int, int]]]:
     """Numbers cut into digits, as Chinese and Japanese texts are cut into characters."""
     if not any(len(w) > 1 and w.isdigit() for w in words):
@@ -187,7 +179,9 @@ class Index:
             if len(w) >= 4 and not w.isdigit():
                 for d in _deletes(w):
                     self.near[d] = (*self.near.get(d, ()), w)
+        #: Mended words, by their form and as they stand in texts.
         self.mended: dict[str, str | tuple[str, ...]] = {}
+        self.raw: dict[str, str | tuple[str, ...]] = {}
 
     def _mend(self, word: str) -> str | tuple[str, ...]:
         """The word, or those words of the items that it looks like or differs from by one letter left out, put in, replaced or swapped."""
@@ -216,14 +210,34 @@ class Index:
                 if w not in known:
                     known[w] = self._mend(w)
             out = [known[w] for w in words]
+        return self._settled(out)
+
+    def _settled(self, out: list) -> list[str]:
+        """Of words that may stand for several, the one that stands beside the same word in a passage."""
         if tuple in map(type, out):
             for i, found in enumerate(out):
-                if type(found) is tuple:  # the one that stands beside the same word in a passage
+                if type(found) is tuple:
                     near = out[i - 1 : i] + out[i + 1 : i + 2]
                     fits = (c for c in found if any((n, c) in self.pairs or (c, n) in self.pairs for n in near if type(n) is str))
                     out[i] = next(fits, found[0])
         return out
 
+    def plain(self, text: str) -> list[str] | None:
+        """The mended words of units, without places and in less time; None for texts with markup."""
+        if "<" in text or "&" in text or "[" in text:
+            return None
+        words, known = _WORDS.findall(text), self.raw
+        out = list(map(known.get, words))
+        if None in out:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    form = _form(w)
+                    known[w] = form and self._mend(form)
+            out = [known[w] for w in words]
+        return self._settled([w for w in out if w] if "" in out else out)
+
     def touches(self, words: list[str], chars: bool) -> bool:
         """Whether any window of the words is an n-gram of a passage."""
         return not self.grams.keys().isdisjoint(grams_of(words, chars))
@@ -361,8 +375,8 @@ def find(index: Index, text: str | None, every: bool = True) -> list[tuple]:
     """(item, start, end, size) of the leaked stretches of a text, or with every=False of the largest of each item."""
     if not text:
         return []
-    quick = plain_units(text)
-    if quick is not None and not index.touches(index.mend(quick), False):
+    quick = index.plain(text)
+    if quick is not None and not index.touches(quick, False):
         if not index.has_chars or not any(map(_is_cjk, quick)) or not index.touches(digits(quick, [(0, 0)] * len(quick))[0], True):
             return []
     words, spots = units(text)

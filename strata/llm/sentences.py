@@ -52,7 +52,7 @@ EMO = r"\x{1F000}-\x{1FAFF}☀-❚❟-➿⬀-⯿⌀-⏿\ufe0f\u200d\u20e3"
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 THAI = r"฀-๿"
 
-# Abbreviations. Those of the first list never end a sentence.
+# Abbreviations, chosen by hand for the eleven languages. Those of the first list never end a sentence.
 NEVER = (
     "mr mrs ms messrs dr prof capt lt sgt st approx vs incl excl ret "
     "hr fr bzw ca inkl zzgl evtl ggf vgl bspw sog abb str nr tel "
@@ -70,7 +70,7 @@ MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okto
 # Words that go on after an abbreviation, where capitals do not tell.
 GOES_ON = "are is was were and or but on in at for to of with which from und oder sind auf für dans et sont y o para и на или для και".split()
 
-# Letters that look alike.
+# Letters that look alike.
 ALIKE = ("aа", "cс", "eе", "oо", "pр", "xх", "yу", "iі", "sѕ", "mм", "tт", "kк", "hһ", "wԝ", "dԁ", "vѵν", "uυ")
 
 

@@ -47,3 +47,11 @@ def test_sketches_add(spark):
     whole = H.sketch(df, "key", "g", 2, 64)
     parts = H.add(H.sketch(df.where("key < '3'"), "key", "g", 2, 64).unionByName(H.sketch(df.where("key >= '3'"), "key", "g", 2, 64)), "g")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_many_candidates_are_joined(spark, monkeypatch):
+    rows = [(f"g{i % 7}", b"k%d" % (i % 3)) for i in range(300)] + [(None, b"n")]
+    df = spark.createDataFrame(rows, "g string, key binary")
+    want = found(df)
+    monkeypatch.setattr(H, "MAX_BROADCAST", 3)
+    assert found(df) == want and len(want) == 22

@@ -65,3 +65,18 @@ def test_nulls_empty_and_cube(spark):
         (False, True, None, None): (1, -3), (True, True, "d", None): (1, -3),
     }
     assert Q.quantiles(Q.digests(df.where("false"), "v", ["day"]), ["day"]).count() == 0
+
+
+def test_map_tasks_compress_what_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 3000)
+    rnd = random.Random(8)
+    values = [rnd.randrange(10**6) for _ in range(40000)]
+    df = spark.createDataFrame([("g", v) for v in values] + [(None, 5), ("g", None)], "g string, v long").repartition(2)
+    eps = 0.05
+    parts = Q.partials(df, "v", ["g"], eps)
+    # Each task compresses its two batches one by one, as the second would be too much.
+    assert parts.where("g = 'g'").count() <= 4 * 3 * Q._shape(eps) and parts.agg({"n": "sum"}).first()[0] == 40001
+    rows = {r.g: r for r in Q.quantiles(Q.digests(df, "v", ["g"], eps), ["g"], eps=eps).collect()}
+    assert rows[None].p50 == 5
+    check(values, rows["g"], eps)
+    assert Q.digests(df.where("false"), "v", ["g"]).count() == 0
