@@ -40,7 +40,7 @@ INTERRUPTION, OWN_SIDES = 120, 4
 #: Share of n-grams of no other passage that a stretch with edits must have, for passages
 #: share phrases, and texts may be built from such phrases without repeating a passage.
 OWN_SHARE = 0.2
-#: Characters of items that are sent to the executors at once, about 200 MB in each Python worker; more go in several passes.
+#: Characters of items that are sent to the executors at once, about 150 MB in each Python worker; more go in several passes.
 BLOCK_CHARS = 2 << 20
 #: Words whose mended form a worker remembers.
 REMEMBERED = 500_000
